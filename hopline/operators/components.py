@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         before = after
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above u are hung on the least neighbour
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: u and its neighbours below are hung on the least of them
