@@ -6,38 +6,61 @@ filled by the tokenizer itself. No pre-token is ever shuffled: to find the frequ
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from hopline.llm.chunks import cut
+
 #: Entries of the broadcast table (some 3 MB), of the list that a task sends, and of the counters and caches of a worker.
 FREQUENT, PER_TASK, COUNTER, CACHE = 1 << 16, 1 << 13, 1 << 17, 1 << 19
 #: Pre-tokens longer than this are encoded each time, so that a cache has a bound in bytes.
 LONGEST = 64
 
-# The pre-token pattern of the byte-level tokenizer, and blocks of code points whose letter, digit and space classes were stable before any
-# Unicode version in use; a text with any other code point is left whole to the tokenizer.
+# Fixed value: the pre-token pattern of the byte-level tokenizer.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_OTHER = re.compile("[^\t-\r\x20-\x84\x86-ӿ‐-‧‰-⁞₠-₿←-⋿ぁ-ゖァ-ヺ一-龥가-힣]")
+# byte-level models see each byte as a printable character: itself if it is one, else a letter from U+0100 on
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTE_CHARS = {b: (chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b))) for b in range(256)}
 
 _workers: dict[str, "PreTokens"] = {}
 
 
+class Memo(dict):
+    """A bounded dict that takes a key in when it is offered for the second time, so that what occurs once does not fill it."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.seen = most, set()
+
+    def offer(self, key: str, value) -> None:
+        if len(key) > LONGEST or len(self) >= self.most:
+            return
+        h = hash(key)
+        if h in self.seen:
+            self[key] = value
+        else:
+            if len(self.seen) >= self.most:
+                self.seen.clear()
+            self.seen.add(h)
+
+
 class PreTokens:
     """A tokenizer file in a worker, with what has been learnt about its pre-tokens."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.find = regex.compile(PRE_TOKEN).findall
-        self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.cache: dict[str, int] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model.tokenize
+        self.cache = Memo(CACHE)
 
     @classmethod
     def get(cls, path: str) -> "PreTokens":
@@ -45,62 +68,49 @@ class PreTokens:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def segments(self, text: str) -> tuple[list[str], int]:
-        """The text without special strings, and how many of those it had; each is one token, and pre-tokens do not cross it."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return [text], 0
-        parts = self.cut.split(text)
-        return parts, len(parts) - 1
-
-    def pre_tokens(self, text: str) -> tuple[list[str] | None, int]:
-        """(pre-tokens, special tokens); None where the tokenizer must see the whole text."""
-        if _OTHER.search(text):
-            return None, 0
-        parts, n = self.segments(text)
-        return (self.find(parts[0]) if len(parts) == 1 else [t for p in parts for t in self.find(p)]), n
-
-    def whole(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def count(self, text: str, frequent: dict[str, int]) -> int:
-        tokens, n = self.pre_tokens(text)
-        if tokens is None:
-            return self.whole(text)
-        cache = self.cache
-        missing = [t for t in set(tokens) if t not in frequent and t not in cache]
-        rare: dict[str, int] = {}
-        if missing:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-            lengths = [len(e.ids) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-            for t, k in zip(missing, lengths, strict=True):
-                (cache if len(t) <= LONGEST and len(cache) < CACHE else rare)[t] = k
-        for t in tokens:
-            k = frequent.get(t)
-            if k is None:
-                k = cache.get(t)
-                if k is None:
-                    k = rare.get(t)
-                    if k is None:  # the cache was emptied since
-                        k = self.whole(t)
-            n += k
+    def whole(self, text: str) -> list[int]:
+        """Ids of any text."""
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, token: str) -> list[int]:
+        """Ids of one pre-token, by the library's model."""
+        return [t.id for t in self.model(token.encode().decode("latin-1").translate(_BYTE_CHARS))]
+
+    def length(self, token: str, frequent: dict[str, int]) -> int:
+        """Tier 1, tier 2, the tokenizer."""
+        n = frequent.get(token) or self.cache.get(token)
+        if n is None:
+            n = len(self.encode(token))
+            self.cache.offer(token, n)
         return n
 
+    def counts(self, texts: pa.Array, frequent: dict[str, int]) -> np.ndarray:
+        """Tokens of each of a batch of non-null texts."""
+        out = np.zeros(len(texts), np.int64)
+        for c in cut(texts, self.special, self.find):
+            for r in c.whole.tolist():
+                out[c.first + r] = len(self.whole(c.texts[r].as_py()))
+            lengths = np.fromiter((self.length(t, frequent) for t in c.tokens), np.int64, len(c.tokens))
+            sums = np.concatenate([[0], np.cumsum(lengths[c.index])])[c.bounds]
+            out[c.first + c.plain] = np.diff(sums)
+        return out
+
 
 def _heaviest(counts: Counter, n: int) -> Counter:
     return Counter(dict(counts.most_common(n)))
 
 
 def frequent_pre_tokens(docs: DataFrame, path: str, text_col: str = "text", n: int = FREQUENT) -> DataFrame:
-    """(token, n): about the ``n`` most frequent pre-tokens of all documents, by the heaviest of each task (a bounded counter, pruned when full)."""
+    """(token, n): about the ``n`` most frequent pre-tokens of all documents, by the heaviest of each task (a bounded counter, pruned when full).
+
+    Texts that go to the tokenizer whole do not count here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = PreTokens.get(path), Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                tokens, _ = own.pre_tokens(text)
-                if tokens is not None:
-                    counts.update(tokens)
+            for c in cut(batch.column("text"), own.special, own.find):
+                counts.update(dict(zip(c.tokens, np.bincount(c.index, minlength=len(c.tokens)).tolist(), strict=True)))
                 if len(counts) > COUNTER:
                     counts = _heaviest(counts, COUNTER // 4)
         top = [(t, k) for t, k in counts.most_common(PER_TASK) if k > 1 and len(t) <= LONGEST]
@@ -125,7 +135,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent = PreTokens.get(path), table.value
         for batch in batches:
-            counts = [own.count(t, frequent) for t in batch.column("text").to_pylist()]
+            counts = own.counts(batch.column("text"), frequent)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

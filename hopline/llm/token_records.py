@@ -16,10 +16,10 @@ it in all files; a shuffled reader seeks by it.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +29,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hopline.llm.token_counts import PreTokens
+from hopline.llm.chunks import cut, gather
+from hopline.llm.token_counts import Memo, PreTokens
 from hopline.session import materialize, shared_dir
 
 NULL_ID = -(1 << 63)
 MASK_DELTA = 0xA282EAD8  # fixed value of the masked checksum
 #: Payloads of a task go out in batches of about this many bytes.
 BATCH_BYTES = 8 << 20
-CACHE = 1 << 18
-LONGEST = 64
-# a space that follows white space and is followed by white space or the end: there a cut before the space would change pre-tokens
-_RUN = re.compile(r"\s (?:\s|\Z)")
+#: Entries of a worker's cache.
+CACHE = 3 << 17
 
 _workers: dict[tuple[str, str], "Encoder"] = {}
 
@@ -71,17 +70,11 @@ def records(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 class Encoder:
-    """Ids by the tokenizers library, memoised for chunks of text.
-
-    A chunk begins at a space between two non-space characters, where the byte-level pre-tokenizer always begins a new pre-token, so the ids of a
-    text are those of its chunks in a row. Texts with runs of white space of which a space is not the last go to the library whole.
-    """
+    """Ids by the tokenizers library, each distinct pre-token of a batch once, and remembered; see ``chunks`` for why that gives the ids of whole texts."""
 
     def __init__(self, path: str, dtype: str):
         self.own, self.dtype = PreTokens(path), np.dtype(dtype)
-        self.encode = self.own.tokenizer.encode
-        self.cache: dict[str, bytes] = {}
-        self.specials = {s: self._ids(s) for s in self.own.special}
+        self.cache = Memo(CACHE)
 
     @classmethod
     def get(cls, path: str, dtype: str) -> "Encoder":
@@ -89,31 +82,23 @@ class Encoder:
             _workers[path, dtype] = cls(path, dtype)
         return _workers[path, dtype]
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.own.special) or _RUN.search(text):
-            return self._ids(text)
-        head, *rest = text.split(" ")
-        chunks = [head, *(" " + r for r in rest)] if head else [" " + r for r in rest]
-        cache = self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        missing = [c for c in set(chunks) if c not in cache]
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = list(set(chunks))
-        found = self.own.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        new = {c: np.array(e.ids, self.dtype).tobytes() for c, e in zip(missing, found, strict=True)}
-        for c, b in new.items():
-            if len(c) <= LONGEST and len(cache) < CACHE:
-                cache[c] = b
-        return b"".join([cache[c] if c in cache else new[c] for c in chunks])
+    def _pre_token(self, token: str) -> bytes:
+        ids = array(self.dtype.char, self.own.encode(token)).tobytes()
+        self.cache.offer(token, ids)
+        return ids
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each of a batch of non-null texts."""
+        width = self.dtype.itemsize
+        for c in cut(texts, self.own.special, self.own.find):
+            known, own = self.cache.get, self._pre_token
+            found = [known(t) or own(t) for t in c.tokens]
+            places, upto = gather(np.fromiter(map(len, found), np.int64, len(found)) // width, c.index)
+            ids = np.frombuffer(b"".join(found), self.dtype)[places].tobytes()
+            bounds = (np.concatenate([[0], upto])[c.bounds] * width).tolist()
+            plain = {r: ids[a:b] for r, a, b in zip(c.plain.tolist(), bounds[:-1], bounds[1:], strict=True)}
+            for r in range(len(c.texts)):
+                yield plain[r] if r in plain else np.array(self.own.whole(c.texts[r].as_py()), self.dtype).tobytes()
 
 
 def id_dtype(path: str) -> str:
@@ -128,8 +113,8 @@ def _framer(path: str, dtype: str, end_id: int):
         enc, before = Encoder.get(path, dtype), 0
         for batch in batches:
             out, size = [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = enc.ids(text) + end
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), enc.batch(batch.column("text")), strict=True):
+                ids = found + end
                 out.append(frame(struct.pack("<qQ", NULL_ID if doc_id is None else doc_id, before) + ids))
                 before += len(ids) // width
                 size += len(out[-1])

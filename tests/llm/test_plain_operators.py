@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, os.path.dirname(__file__))
 from helpers import documents, rows, table, texts  # noqa: E402
 
-from hopline.llm import exact_dedup, mixing, token_counts, token_records, url_filter  # noqa: E402
+from hopline.llm import chunks, exact_dedup, mixing, token_counts, token_records, url_filter  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -46,29 +46,43 @@ def test_token_counts_empty_table(spark):
 
 
 def test_pre_token_classes_agree_with_library():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     own = token_counts.PreTokens(PATH)
-    for c in range(1, 0xD7B0):
-        if 0xD800 <= c < 0xE000 or token_counts._OTHER.search(chr(c)):
-            continue
+    known = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    odd = pc.match_substring_regex(pa.array(map(chr, known)), chunks._UNKNOWN).to_pylist()
+    known = [c for c, o in zip(known, odd) if not o]
+    assert len(known) > 30_000
+    for c in known:
         text = f"a{chr(c)}1 {chr(c)} b{chr(c)}"
         assert own.find(text) == [text[a:b] for _, (a, b) in own.tokenizer.pre_tokenizer.pre_tokenize_str(text)], hex(c)
 
 
-def test_small_caches_change_nothing(monkeypatch):
+def encoded(enc, some):
+    import pyarrow as pa
+
+    return [np.frombuffer(b, "<u2").tolist() for b in enc.batch(pa.array(some, pa.string()))]
+
+
+@pytest.mark.parametrize("size", [8 << 20, 200])
+def test_small_caches_and_parts_change_nothing(monkeypatch, size):
+    import pyarrow as pa
+
     monkeypatch.setattr(token_counts, "CACHE", 5)
     monkeypatch.setattr(token_records, "CACHE", 5)
+    monkeypatch.setattr(chunks, "BATCH_BYTES", size)
     own, enc = token_counts.PreTokens(PATH), token_records.Encoder(PATH, "<u2")
-    for t in texts(80, 7):
-        assert own.count(t or "", {}) == len(ids_of(t))
-        assert np.frombuffer(enc.ids(t or ""), "<u2").tolist() == ids_of(t)
+    some = [t or "" for t in texts(120, 7)]
+    for part in (some, some[5:90], [], [""]):
+        assert own.counts(pa.array(part, pa.string()), {}).tolist() == [len(ids_of(t)) for t in part]
+        assert encoded(enc, part) == [ids_of(t) for t in part]
 
 
-@pytest.mark.parametrize("a", ["", "x", "  ", "\n", " \n", "\u3000", "don't"])
-@pytest.mark.parametrize("b", [" ", "  ", "\n ", " \n", "   ", "\t", "\xa0 "])
-@pytest.mark.parametrize("c", ["", "y", " ", "'s 12", "\n"])
-def test_chunks_keep_ids(a, b, c):
-    text = f"{a}{b}{c} word{b}{c}"
-    assert np.frombuffer(token_records.Encoder.get(PATH, "<u2").ids(text), "<u2").tolist() == ids_of(text)
+@pytest.mark.parametrize("b", [" ", "  ", "\n ", " \n", "   ", "\t", "\xa0 ", "\x1c ", "\x85 ", "\u3000 "])
+def test_chunks_keep_ids(b):
+    some = [f"{a}{b}{c} word{b}{c}" for a in ["", "x", "  ", "\n", " \n", "\u3000", "don't"] for c in ["", "y", " ", "'s 12", "\n"]]
+    assert encoded(token_records.Encoder.get(PATH, "<u2"), some) == [ids_of(t) for t in some]
 
 
 def test_token_records(spark, docs, tmp_path):
