@@ -173,9 +173,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     u, v = _links_within(part, _wild_bit(np.array([big]))[0])
                     yield _rows(0, u, v)
                     yield _rows(1, np.full(len(part), big), part, block)
-                key, fp, block = key[len(part) :], fp[len(part) :], block + 1
-                if n <= BLOCK:
+                if n <= BLOCK and n < len(key):  # another key follows
                     big = None
+                key, fp, block = key[len(part) :], fp[len(part) :], block + 1
                 continue
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
