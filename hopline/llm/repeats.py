@@ -29,7 +29,7 @@ from hopline.session import discard, materialize
 
 LENGTH, GRAM = 400, 128
 #: Contexts of an anchor that one task orders, contexts and bytes of a batch of anchors, and starts of a text that are looked at in one go.
-MOST, BATCH, STEP = 256, 8_192, 1 << 20
+MOST, BATCH, STEP = 1 << 15, 1 << 13, 1 << 20
 
 _CONTEXT = "fp long, c long, row long, s0 int, n int, off int"
 _rng = np.random.default_rng(20240229)
@@ -115,6 +115,17 @@ def _batch(cols: list[list[np.ndarray]], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
 
+def _least(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least of x[low..high], ends included, for many ranges: of two runs of a power of two that cover it."""
+    out, size = x[low], high - low + 1
+    runs, k = x, 1
+    while (at := np.flatnonzero(size >= 2 * k)).size:
+        runs = np.minimum(runs[: len(runs) - k], runs[k:])  # of 2k each
+        k *= 2
+        out[at] = np.minimum(runs[low[at]], runs[high[at] - k + 1])
+    return out
+
+
 def repeated_starts(groups: np.ndarray, contexts: list[bytes], offs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each context, whether the window at each of its starts is also a window of another context of its group.
 
@@ -140,14 +151,7 @@ def repeated_starts(groups: np.ndarray, contexts: list[bytes], offs: np.ndarray,
         ordered = key[perm]
         same[1:m] = (ordered[1:] == ordered[:-1]) & ((ordered[1:] & 511) > 0)
         at = np.flatnonzero(same)
-        low, high = perm[at - 1] + 1, perm[at]
-        value = prefix[low]
-        wide = np.flatnonzero(high > low)
-        step = 1
-        while len(wide):  # least prefix between the two places of the last order
-            value[wide] = np.minimum(value[wide], prefix[low[wide] + step])
-            step += 1
-            wide = wide[high[wide] >= low[wide] + step]
+        value = _least(prefix, perm[at - 1] + 1, perm[at])  # between the two places of the last order
         prefix = np.zeros(m + 1, np.int64)
         prefix[at] = value + 1
         order = order[perm]
