@@ -16,12 +16,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hopline.llm.common import with_row_key
 from hopline.session import discard, materialize
 
 #: Rows (one for each document with such an entity) up to which the list of later attempts is broadcast; beyond, it is joined by document.
 BROADCAST_RETRIES = 20_000
+#: Rows that a worker rewrites at a time.
+SLICE = 512
 
 # Titles that announce a person's name, by the gender that they tell.
 TITLES = {
@@ -174,7 +177,8 @@ def render(kind: str, mention: str, new: str) -> str:
         return new.upper() if mention.isupper() else new
     if kind == "person":
         old, fresh = re.split(r"([  ])", mention), iter(new.partition(":")[2].split(" "))
-        return "".join(w if w in "  " else (n := next(fresh)).upper() if len(w) > 1 and w.isupper() else n[:1].upper() + n[1:] for w in old if w)
+        cased = lambda was, new_word: new_word.upper() if len(was) > 1 and was.isupper() else new_word[:1].upper() + new_word[1:]
+        return "".join(w if not w.strip() else cased(w, next(fresh)) for w in old if w)
     return new
 
 
@@ -198,7 +202,7 @@ def mentions(keyed: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(r, k, n) for r, t in zip(batch.column("__row").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for k, n in dict.fromkeys((e[2], e[3]) for e in detect(t))]
+            out = [(r, k, n) for r, t in zip(batch.column("__row").to_pylist(), batch.column("text"), strict=True) if t.is_valid for k, n in dict.fromkeys((e[2], e[3]) for e in detect(t.as_py()))]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["__row", "kind", "norm"])
 
     return keyed.select("__row", F.col(text_col).alias("text")).mapInArrow(run, "__row long, kind string, norm string")
@@ -232,6 +236,27 @@ def settle(entities: DataFrame, key: bytes, max_attempts: int = 40) -> DataFrame
     raise RuntimeError("too few surrogates for the entities of a kind")
 
 
+def _rewriter(key: bytes, n_kept: int):
+    """Rows (__text, __later, kept columns) -> (kept columns, new text, counts by type), in slices, so that a batch is not held twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts, counts = [], []
+                for text, later in zip(part.column(0), part.column(1), strict=True):
+                    attempts = {(x["kind"], x["norm"]): x["attempt"] for x in later.as_py() or ()}
+                    new, n = (None, [0] * len(TYPES)) if not text.is_valid else _replaced(text.as_py(), key, attempts, memo)
+                    texts.append(new)
+                    counts.append(n)
+                found = [pa.array([n[i] for n in counts], pa.int32()) for i in range(len(TYPES))]
+                names = [*part.schema.names[2:], "__text", *(f"pii_{t}" for t in TYPES)]
+                yield pa.RecordBatch.from_arrays([*(part.column(2 + i) for i in range(n_kept)), pa.array(texts, pa.string()), *found], names)
+
+    return run
+
+
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with ``text_col`` rewritten, n_entities, and counts by type (``pii_<type>``).
 
@@ -246,24 +271,13 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", keep: tupl
     lists = found.join(retries, ["kind", "norm"]).groupBy(F.col("__row").alias("__r")).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("__later"))
     lists = materialize(lists, "later")
     hint = F.broadcast if lists.count() <= BROADCAST_RETRIES else (lambda x: x)
-    memo: dict = {}
-
-    @F.pandas_udf("text string, counts array<int>")
-    def rewrite(texts, later):
-        import pandas as pd
-
-        out = []
-        for text, some in zip(texts, later, strict=True):
-            if text is None:
-                out.append((None, [0] * len(TYPES)))
-                continue
-            attempts = {} if some is None else {(x["kind"], x["norm"]): x["attempt"] for x in some}
-            out.append(_replaced(text, key, attempts, memo))
-        return pd.DataFrame(out, columns=["text", "counts"])
-
     cols = list(keep) if keep else docs.columns
-    joined = keyed.select("__row", F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(cols) if c != text_col))
-    joined = joined.join(hint(lists), F.col("__row") == F.col("__r"), "left").withColumn("__new", rewrite("__text", "__later"))
-    counts = [F.coalesce(F.get("__new.counts", F.lit(i)), F.lit(0)).alias(f"pii_{t}") for i, t in enumerate(TYPES)]
-    n = F.aggregate("__new.counts", F.lit(0), lambda a, x: a + x).alias("n_entities")
-    return joined.select(*(F.col("__new.text").alias(c) if c == text_col else F.col(f"__k{i}").alias(c) for i, c in enumerate(cols)), n, *counts)
+    others = [c for c in cols if c != text_col]
+    joined = keyed.select("__row", F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(others)))
+    joined = joined.join(hint(lists), F.col("__row") == F.col("__r"), "left").select("__text", "__later", *(f"__k{i}" for i in range(len(others))))
+    kept = [f for f in joined.schema.fields if f.name.startswith("__k")]
+    schema = T.StructType([*kept, T.StructField("__text", T.StringType()), *(T.StructField(f"pii_{t}", T.IntegerType()) for t in TYPES)])
+    out = joined.mapInArrow(_rewriter(key, len(kept)), schema)
+    text = {text_col: "__text"} | {c: f"__k{i}" for i, c in enumerate(others)}
+    n = sum((F.col(f"pii_{t}") for t in TYPES), F.lit(0)).alias("n_entities")
+    return out.select(*(F.col(text[c]).alias(c) for c in cols), n, *(f"pii_{t}" for t in TYPES))
