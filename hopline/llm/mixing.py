@@ -94,20 +94,23 @@ def queue(
     slices = min(1 << 16, max(1, 2 * n // ROWS_PER_BLOCK) * 4)
     cut = copies.withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(4 * slices)))
     running = cut.groupBy("slice").agg(F.sum("size").alias("s")).select("slice", F.sum("s").over(W.orderBy("slice")).alias("upto"), "s")
-    total = placed.agg(F.coalesce(budget, F.lit(0.0)).alias("budget"))
-    edge = running.join(F.broadcast(total)).where("upto > budget").agg(F.min(F.struct("slice", (F.col("upto") - F.col("s")).alias("below"), "budget")).alias("e"))
-    edge = F.broadcast(edge)
-    whole = cut.join(edge).where("e IS NULL OR slice < e.slice")
-    last = cut.join(edge).where("slice = e.slice").withColumn(
+    limit = placed.agg(F.coalesce(budget, F.lit(0.0)).alias("budget")).scalar()
+    edge = running.where(F.col("upto") > limit).agg(F.min(F.struct("slice", (F.col("upto") - F.col("s")).alias("below"))).alias("e"))
+    cut = cut.withColumn("e", edge.scalar())
+    whole = cut.where("e IS NULL OR slice < e.slice")
+    last = cut.where("slice = e.slice").withColumn(
         "upto", F.col("e.below") + F.sum("size").over(W.orderBy("finish", "doc_id", "__row", "copy").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ).where("upto <= e.budget")
+    ).where(F.col("upto") <= placed.agg(F.coalesce(budget, F.lit(0.0)).alias("budget")).scalar())
     taken = whole.select("__row", "copy", "finish", "size").unionByName(last.select("__row", "copy", "finish", "size"))
     return placed, taken
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """The mixed corpus: whole rows of ``docs``, a row as often as it is taken, range-sorted by virtual finish time."""
-    keyed = materialize(with_row_key(docs), "mixin")
+    """The mixed corpus: whole rows of ``docs``, a row as often as it is taken, range-sorted by virtual finish time.
+
+    ``docs`` must give its rows in the same order each time it is read, as written tables do.
+    """
+    keyed = with_row_key(docs)
     _, taken = queue(keyed, row_key="__row", **params)
     order = taken.select(F.col("__row").alias("__r"), F.col("copy").alias("__copy"), F.col("finish").alias("__finish"))
     joined = keyed.join(order, F.col("__row") == F.col("__r"))

@@ -19,8 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopline.llm.common import with_row_key
-from hopline.session import materialize
+from hopline.session import discard, materialize
 
 #: The models are fitted in the driver on the features of at most so many labelled documents, those least by a hash of their id.
 SAMPLE_ROWS = 8_000
@@ -207,40 +206,49 @@ def site_odds(scored: DataFrame, names: list[str]) -> DataFrame:
     return joined.select("host", "path", *out)
 
 
+def _decided(scored: DataFrame, sites: DataFrame, names: list[str], threshold: float) -> DataFrame:
+    """``scored`` (host, path, __e) with the posterior log odds and ``__keep``."""
+    hint = F.broadcast if sites.count() <= BROADCAST_SITES else (lambda x: x)
+    odds = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), *(F.col(n).alias(f"__s_{n}") for n in names))
+    both = scored.join(hint(odds), F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p")))
+    both = both.withColumns({f"__l_{n}": F.col(f"__e.{n}") + F.lit(SITE_WEIGHT) * F.col(f"__s_{n}") for n in names})
+    return both.withColumn("__keep", F.greatest(*(F.col(f"__l_{n}") for n in names)) < F.lit(float(threshold)))
+
+
+def _scored(docs: DataFrame, models: dict[str, Model], id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("__text"))
+    return evidence(slim, models, "__text").drop("__text")
+
+
 def classify(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    path_col: str = "lang",
-    threshold: float = 0.0,
-    keep_cols: list[str] | None = None,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.0
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, host, path, low, toxic (posterior log odds) and keep; with ``keep_cols``, those columns and keep.
+    """One row for each row of ``docs``: doc_id, host, path, low, toxic (posterior log odds) and keep.
 
     A document is kept if both log odds are below ``threshold``. Null texts count as empty; a null host or path is a site of its own; a null id is kept as
     it is; repeated rows are scored each for itself; other columns do not matter. Without labels of a class, nothing is rejected for it.
     """
     models = fit_models(docs, labels, id_col, text_col)
     names = list(models)
-    cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep_cols)] if keep_cols else []
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("__text"), *cols)
-    scored = materialize(evidence(slim, models, "__text").drop("__text"), "scored")
+    scored = materialize(_scored(docs, models, id_col, text_col, host_col, path_col), "scored")
     sites = materialize(site_odds(scored, names), "odds")
-    hint = F.broadcast if sites.count() <= BROADCAST_SITES else (lambda x: x)
-    both = scored.alias("d").join(hint(sites.alias("s")), F.expr("d.host <=> s.host AND d.path <=> s.path"))
-    logit = {n: F.col(f"d.__e.{n}") + F.lit(SITE_WEIGHT) * F.col(f"s.{n}") for n in names}
-    out = both.select("d.doc_id", "d.host", "d.path", *(logit[n].alias(n) for n in names), *(F.col(f"d.k{i}") for i in range(len(cols))))
-    out = out.withColumn("keep", F.greatest(*(F.col(n) for n in names)) < F.lit(float(threshold)))
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep_cols)), "keep") if keep_cols else out
+    out = _decided(scored, sites, names, threshold)
+    return out.select("doc_id", "host", "path", *(F.col(f"__l_{n}").alias(n) for n in names), F.col("__keep").alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps."""
-    return classify(docs, labels, keep_cols=docs.columns, **params).where("keep").drop("keep") if "keep" not in docs.columns else _keep_named(docs, labels, params)
-
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.0
+) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps.
 
-def _keep_named(docs: DataFrame, labels: DataFrame, params: dict) -> DataFrame:
-    renamed = docs.withColumnRenamed("keep", "__keep")
-    return keep_good(renamed, labels, **params).withColumnRenamed("__keep", "keep").select(*(F.col(f"`{c}`") for c in docs.columns))
+    Evidence is found twice, once for the sites and once for the decision, so that whole rows are neither shuffled nor written.
+    """
+    models = fit_models(docs, labels, id_col, text_col)
+    names = list(models)
+    scored = materialize(_scored(docs, models, id_col, text_col, host_col, path_col), "scored")
+    sites = materialize(site_odds(scored, names), "odds")
+    discard(scored)
+    cols = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(cols))).alias("__r"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("__text"))
+    kept = _decided(evidence(whole, models, "__text"), sites, names, threshold).where("__keep")
+    return kept.select(*(F.col(f"__r.k{i}").alias(c) for i, c in enumerate(cols)))

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopline.llm.common import with_row_key
 from hopline.operators.components import connected_components
 from hopline.session import discard, materialize
 
@@ -242,11 +243,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class, one row with the smallest id (a null id only where there is no other).
 
-    ``docs`` is written with row numbers first, so that of repeated rows exactly one stays. Texts are not shuffled but for the last semi-join.
+    Rows are numbered, so that of repeated rows exactly one stays; for that ``docs`` must give its rows in the same order each time it is read, as
+    written tables do. Texts are not shuffled but for the last semi-join.
     """
-    from hopline.llm.common import with_row_key
-
-    keyed = materialize(with_row_key(docs), "keyed")
+    keyed = with_row_key(docs)
     slim = keyed.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text"))
     fps = materialize(fingerprints(slim, words_per_shingle=words_per_shingle), "fps")
     classes = fps.join(fingerprint_classes(fps), "fp").select(F.col("doc_id").alias("__r"), "component_id")
