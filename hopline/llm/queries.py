@@ -74,9 +74,9 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ORACLE = {
     "op8_decontamination": r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), %(az)s), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), %(az)s), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), %(az)s), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), %(az)s), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark
 ), bw AS (
   SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i + 1 : i + least(len(w), 13)], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS i FROM b WHERE len(w) > 0)
