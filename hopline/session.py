@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that were not started in its folder; once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hopline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="hopline-code-")  # Spark serves it from here to executors that come later
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/hopline_code", "zip", package.parent, package.name))
+    sc._hopline_shipped = True
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
