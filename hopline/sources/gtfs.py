@@ -74,7 +74,8 @@ def describe(df: DataFrame) -> list[tuple[str, str]]:
 def write_table(df: DataFrame, path: str, sort: list[str] | None = None, mode: str = "overwrite") -> DataFrame:
     """A Parquet table, sorted within files by its access path, so that row-group statistics prune reads. ``ignore`` keeps what is there."""
     if sort:
-        df = df.repartition(F.col(sort[0]), F.hash(*sort[1:]) % 16).sortWithinPartitions(*sort)
+        # sixteen ways within the first key, so that one large source is not one task
+        df = df.repartition(F.col(sort[0]), F.xxhash64(*sort) % 16).sortWithinPartitions(*sort)
     df.write.mode(mode).parquet(path)
     return df.sparkSession.read.parquet(path)
 

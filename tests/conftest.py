@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from hopline.session import build_session
 
-    session = build_session(partitions=8, memory="6g")
+    session = build_session(os.environ.get("TEST_MASTER", "local[8]"), partitions=4, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
