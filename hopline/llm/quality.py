@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +29,21 @@ BUCKETS = 1 << 16
 BROADCAST_SITES = 100_000
 #: Range of the strength, in documents, with which a site is drawn to its parent, and the weight of the site's log odds.
 STRENGTH, SITE_WEIGHT = (5.0, 5_000.0), 0.5
+#: Standard errors by which a word's log odds are drawn to zero.
+CERTAIN = 2.5
+#: Letters of a word's stem.
+STEM = 5
 
 _SHAPES = 12
 _WORD = re.compile(r"\w+")
 _MARKS, _TABLES, _DIGITS = b"!%&$*#@^~<>", b"|{}[]=;", b"0123456789"
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of the distinct words, figures that do not depend on which words they are) of a whole text."""
+Features = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def features(text: str | None) -> Features:
+    """(buckets of words and of their first five letters, how often each occurs, figures that do not depend on which words they are) of a whole text."""
     text = text or ""
     raw, words = text.encode(), _WORD.findall(text.lower())
     n, w, distinct = max(1, len(raw)), max(1, len(words)), set(words)
@@ -57,8 +65,13 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             float(len(words) < 20),
         ]
     )
-    buckets = np.unique(np.fromiter((xxhash.xxh32_intdigest(x.encode()) % BUCKETS for x in distinct), np.int32))
-    return buckets, shape
+    counts = Counter(words)
+    for x in distinct:
+        if len(x) > STEM:
+            counts["^" + x[:STEM]] += counts[x]
+    buckets, at = np.unique(np.fromiter((xxhash.xxh32_intdigest(x.encode()) % BUCKETS for x in counts), np.int32, len(counts)), return_inverse=True)
+    often = np.bincount(at, np.fromiter(counts.values(), float, len(counts)), len(buckets)) if len(counts) else np.zeros(0)
+    return buckets, often, shape
 
 
 @dataclass
@@ -70,19 +83,17 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
 
-    def evidence(self, found: tuple[np.ndarray, np.ndarray]) -> float:
-        return float(self._row(found) @ self.shapes)
-
-    def _row(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return np.concatenate([word_figures(self.words[found[0]]), (found[1] - self.mean) / self.scale])
+    def evidence(self, found: Features) -> float:
+        return float(np.concatenate([word_figures(self.words, found), (found[2] - self.mean) / self.scale]) @ self.shapes)
 
 
-def word_figures(odds: np.ndarray) -> np.ndarray:
-    """What the log odds of a text's words say together: their strongest, the sum of the strong ones, their mean."""
-    if not len(odds):
+def word_figures(odds: np.ndarray, found: Features) -> np.ndarray:
+    """What the log odds of a text's words say together: the strongest, the sum of the strong ones and that sum by length, the mean."""
+    if not len(found[0]):
         return np.zeros(4)
-    top = np.sort(odds)[-5:]
-    return np.array([top[-1], top.sum() / 5, np.maximum(odds - 1.5, 0).sum() / 5, odds.mean() * 3])
+    mine, often = odds[found[0]], found[1]
+    strong = float(np.maximum(mine - 1, 0) @ often)
+    return np.array([mine.max(), math.log1p(strong), math.log1p(strong / often.sum() * 100), float(mine @ often) / often.sum() * 3])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -100,22 +111,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
-def _word_odds(found: list, y: np.ndarray) -> np.ndarray:
-    counts = np.zeros((2, BUCKETS))
-    for (buckets, _), k in zip(found, y, strict=True):
-        counts[int(k), buckets] += 1
-    n = np.array([max(1, (y == 0).sum()), max(1, y.sum())])
-    rate = (counts + 0.5) / (n[:, None] + 1)
-    odds = np.log(rate[1] / (1 - rate[1])) - np.log(rate[0] / (1 - rate[0]))
-    # words that few labelled documents hold say little
-    total = counts.sum(axis=0)
-    return np.clip(odds, -4, 6) * total / (total + 3)
+def _word_odds(found: list[Features], y: np.ndarray) -> np.ndarray:
+    """Log odds of each bucket's rate among all words, drawn to zero by what is uncertain: a word that few documents hold says nothing."""
+    held, often = np.full((2, BUCKETS), 0.5), np.full((2, BUCKETS), 0.5)
+    for (buckets, n, _), k in zip(found, y, strict=True):
+        held[int(k), buckets] += 1
+        often[int(k), buckets] += n
+    rate = often / often.sum(axis=1, keepdims=True)
+    odds = np.log(rate[1]) - np.log(rate[0])
+    error = np.sqrt((1 / held).sum(axis=0))
+    return np.sign(odds) * np.maximum(np.abs(odds) - CERTAIN * error, 0)
 
 
-def fit(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
+def fit(found: list[Features], labels: np.ndarray) -> Model:
     """A model of label 1 from the features of texts. Word odds for the second regression come from the other half of the sample, so that it does not trust words too much."""
     y = np.asarray(labels, float)
-    shapes = np.array([s for _, s in found]).reshape(-1, _SHAPES)
+    shapes = np.array([s for *_, s in found]).reshape(-1, _SHAPES)
     mean, scale = shapes.mean(axis=0), shapes.std(axis=0) + 1e-6
     mean[0], scale[0] = 0.0, 1.0
     fold = np.arange(len(y)) % 2
@@ -124,7 +135,7 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model
         other = np.flatnonzero(fold != k)
         odds = _word_odds([found[i] for i in other], y[other])
         for i in np.flatnonzero(fold == k):
-            rows[i] = np.concatenate([word_figures(odds[found[i][0]]), (shapes[i] - mean) / scale])
+            rows[i] = np.concatenate([word_figures(odds, found[i]), (shapes[i] - mean) / scale])
     return Model(_word_odds(found, y), _logistic(rows, y), mean, scale)
 
 
@@ -133,18 +144,18 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     wanted = labels.select(F.col("doc_id").cast("long").alias("__l"), "quality", "toxic").where("__l IS NOT NULL").orderBy(F.xxhash64("__l"), "__l", "quality", "toxic").limit(SAMPLE_ROWS)
     mine = docs.select(F.col(id_col).cast("long").alias("__d"), F.col(text_col).alias("__text"))
 
-    @F.pandas_udf("buckets array<int>, shape array<double>")
+    @F.pandas_udf("buckets array<int>, often array<double>, shape array<double>")
     def featured(texts):
         import pandas as pd
 
         rows = [features(t) for t in texts]
-        return pd.DataFrame({"buckets": [b for b, _ in rows], "shape": [x for _, x in rows]})
+        return pd.DataFrame({"buckets": [r[0] for r in rows], "often": [r[1] for r in rows], "shape": [r[2] for r in rows]})
 
     labelled = mine.join(F.broadcast(wanted), F.col("__d") == F.col("__l"))
     sample = labelled.select("__d", "quality", "toxic", F.xxhash64("__text").alias("__t"), featured("__text").alias("f"))
     found, low, toxic = [], [], []
     for r in sample.orderBy(F.xxhash64("__d"), "__d", "__t").limit(SAMPLE_ROWS).collect():
-        found.append((np.array(r["f"]["buckets"], np.int32), np.array(r["f"]["shape"])))
+        found.append((np.array(r["f"]["buckets"], np.int32), np.array(r["f"]["often"]), np.array(r["f"]["shape"])))
         low.append(r["quality"] == 0)
         toxic.append(r["toxic"] == 1)
     out = {}
@@ -221,7 +232,7 @@ def _scored(docs: DataFrame, models: dict[str, Model], id_col: str, text_col: st
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.0
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 1.0
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, host, path, low, toxic (posterior log odds) and keep.
 
@@ -237,7 +248,7 @@ def classify(
 
 
 def keep_good(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.0
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 1.0
 ) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps.
 
