@@ -74,10 +74,18 @@ def hex_center(cell: Column) -> tuple[Column, Column]:
     return F.degrees(F.asin(sine)), F.degrees(x * F.lit(1.0 / (RADIUS_M * PARALLEL)))
 
 
+#: Degrees by which a middle is moved before it is looked up at a coarser resolution: middles may lie on borders there, where the last bit would decide.
+NUDGE = (3e-9, 1e-9)
+
+
+def hex_parent_at(lat: Column, lon: Column, res: int | Column) -> Column:
+    """The cell of a coarser resolution that holds the middle at (lat, lon)."""
+    return hex_cell(lat + F.lit(NUDGE[0]), lon + F.lit(NUDGE[1]), res)
+
+
 def hex_parent(cell: Column, res: int) -> Column:
     """The cell of a coarser resolution that holds the middle."""
-    lat, lon = hex_center(cell)
-    return hex_cell(lat, lon, res)
+    return hex_parent_at(*hex_center(cell), res)
 
 
 def steps(k: int, hollow: bool = False) -> list[int]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopline.functions.aggs import weighted_median
-from hopline.functions.geo import edge_m, hex_cell, hex_center, hex_parent, ring_deltas
+from hopline.functions.geo import edge_m, hex_cell, hex_center, hex_parent, hex_parent_at, ring_deltas
 
 
 def trip_velocity(edges: DataFrame, extra_min: int = 5) -> DataFrame:
@@ -52,7 +52,7 @@ def pop_within_60(edges: DataFrame, res: int = 10, max_ring: int = 30, walk: flo
 def bake(pop60: DataFrame, resolutions: range = range(4, 10), own: int = 10) -> DataFrame:
     """``pop60`` at its own resolution and, by parent cells, at coarser ones: mean place, median people. One union, so a rerun adds nothing twice."""
     up = pop60.select("lon", "lat", "pop_in_60", F.explode(F.array(*map(F.lit, resolutions))).alias("res"))
-    up = up.withColumn("cell", hex_cell(F.col("lat"), F.col("lon"), F.col("res")))  # a cell's place is its middle
+    up = up.withColumn("cell", hex_parent_at(F.col("lat"), F.col("lon"), F.col("res")))  # a cell's place is its middle
     rolled = up.groupBy("cell", "res").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.median("pop_in_60").alias("pop_in_60"))
     cols = ["lon", "lat", "pop_in_60", "cell", "res"]
     return pop60.withColumn("res", F.lit(own)).select(*cols).unionByName(rolled.select(*cols))

@@ -31,6 +31,8 @@ def cell_weights(stats: DataFrame, population: DataFrame, res: int = 6) -> DataF
     """(cell, weight): how far its stops go, between 3 and 1000 km, times its people. ``population``: cell (finer), population."""
     far = with_cell(stats, res).groupBy("cell").agg(F.least(F.greatest(F.sum("crow_km"), F.lit(3.0)), F.lit(1000.0)).alias("far"))
     people = population.groupBy(hex_parent(F.col("cell"), res).alias("cell")).agg(F.sum("population").alias("pop"))
+    # written, or the planner carries both long cell expressions through every filter that it infers from the join
+    far, people = materialize(far, "far"), materialize(people, "people")
     return far.join(people, "cell").select("cell", (F.col("far") * F.col("pop")).alias("weight")).dropna()
 
 

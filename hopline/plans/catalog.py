@@ -213,12 +213,13 @@ def x11(t):
     "x12_bake",
     view("hops", "people", **_POP60)
     + f""", pc AS (SELECT {_LON} AS lon, {_LAT} AS lat, pop_in_60 FROM pop60), up AS ("""
-    + " UNION ALL ".join(f"SELECT lon, lat, pop_in_60, cell, {r} AS res FROM {cells('pc', r, 'lat', 'lon')}" for r in range(4, 10))
-    + """) SELECT cell, res, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, round(median(pop_in_60), 6) AS pop_in_60 FROM up GROUP BY cell, res""",
+    + " UNION ALL ".join(f"SELECT lon, lat, pop_in_60, cell, {r} AS res FROM {cells('pc', r, '(lat + 3e-9)', '(lon + 1e-9)')}" for r in range(4, 10))
+    + """) SELECT cell, res, round(avg(lon), 4) AS lon, round(avg(lat), 4) AS lat, round(median(pop_in_60), 4) AS pop_in_60 FROM up GROUP BY cell, res""",
 )
 def x12(t):
     pop = _pop60(t)
-    return access.bake(pop).where("res < 10")
+    # four decimals: the order in which floats are added shows in the sixth
+    return access.bake(pop).where("res < 10").withColumns({c: F.round(c, 4) for c in ("lon", "lat", "pop_in_60")})
 
 
 _T2T = {
@@ -241,8 +242,8 @@ _MID_LAT, _MID_LON = center("cell")
 @query(
     "x25b_coarse",
     view("day", "people", **_T2T, pop=_POP)
-    + f""", m1 AS (SELECT {_MID_LAT} AS clat, {_MID_LON} AS clon, time_to_transport FROM t2t), mid AS (SELECT cell, median(time_to_transport) AS t FROM {cells("m1", 9, "clat", "clon")} GROUP BY cell),
-b0 AS (SELECT {_MID_LAT} AS clat, {_MID_LON} AS clon, coalesce(t, 60e0) AS t, population FROM pop LEFT JOIN mid USING (cell)), b AS (SELECT cell, t, sum(population) AS w FROM {cells("b0", 2, "clat", "clon")} GROUP BY cell, t),
+    + f""", m1 AS (SELECT {_MID_LAT} AS clat, {_MID_LON} AS clon, time_to_transport FROM t2t), mid AS (SELECT cell, median(time_to_transport) AS t FROM {cells("m1", 9, "(clat + 3e-9)", "(clon + 1e-9)")} GROUP BY cell),
+b0 AS (SELECT {_MID_LAT} AS clat, {_MID_LON} AS clon, coalesce(t, 60e0) AS t, population FROM pop LEFT JOIN mid USING (cell)), b AS (SELECT cell, t, sum(population) AS w FROM {cells("b0", 2, "(clat + 3e-9)", "(clon + 1e-9)")} GROUP BY cell, t),
 c AS (SELECT *, sum(w) OVER (PARTITION BY cell ORDER BY t) AS run, sum(w) OVER (PARTITION BY cell) AS total FROM b)
 SELECT cell, round(min(t), 6) AS value FROM c WHERE 2 * run >= total GROUP BY cell""",
 )
