@@ -52,10 +52,12 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 def gather(sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of given sizes that lie end to end: the places of the runs ``index`` in a row, and where each of them ends."""
-    starts = np.cumsum(sizes) - sizes
     n = sizes[index]
     ends = np.cumsum(n)
-    return np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0), ends
+    shift = ((np.cumsum(sizes) - sizes)[index] - (ends - n)).astype(np.int32)  # a part has fewer places than that
+    places = np.repeat(shift, n)
+    places += np.arange(len(places), dtype=np.int32)
+    return places, ends
 
 
 def cut(texts: pa.Array, special: list[str], find: Callable[[str], list[str]]) -> Iterator[Cut]:
