@@ -18,6 +18,8 @@ from hopline.session import materialize
 WINDOW, SHINGLE = 13, 3
 #: Bits of the table that keeps places without a benchmark shingle out of the join: 128 kB whatever the benchmark's size.
 FILTER_BITS = 1 << 20
+#: Windows of the benchmark up to which their prefixes are broadcast (some 150 bytes each, 15 MB); beyond, places and prefixes are shuffled.
+BROADCAST_WINDOWS = 100_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -92,7 +94,8 @@ def contamination(
     hash of the text, which tells rows that share an id apart; repeated rows get each the same result. Null texts and items have no words; with no items,
     nothing is hit. A null item id counts as an item but is left out of ``items_sha256``. Other columns are ignored.
 
-    Texts are read once and never shuffled: what is shuffled are the places that a benchmark shingle can stand at, with 25 words around each.
+    Texts are read once and never shuffled. With a small benchmark only matches are; with a large one, the places that its shingles can stand at, with
+    25 words around each.
     """
     windows = materialize(windows_of(items, item_id_col, item_text_col), "windows")
     shingles = materialize(window_shingles(windows), "shingles")
@@ -104,7 +107,8 @@ def contamination(
     prefix = ranked.groupBy("window", "len").agg(F.min(F.struct("c", "h", "off")).alias("p")).select("window", "len", "p.h", "p.off")
     start = F.col("at") - F.col("off")
     at = start - F.col("from")
-    candidates = hits.join(prefix, "h").where((start >= 0) & (at >= 0) & (at + F.col("len") <= F.size("near")))
+    hint = F.broadcast if windows.count() <= BROADCAST_WINDOWS else (lambda x: x)
+    candidates = hits.join(hint(prefix), "h").where((start >= 0) & (at >= 0) & (at + F.col("len") <= F.size("near")))
     verified = candidates.where(F.array_join(F.slice("near", at + 1, F.col("len")), " ") == F.col("window"))
     matches = materialize(verified.select("doc_id", "tie", start.alias("start"), "len", "window").distinct(), "matches")
     # words covered by the matches of a document, which are no more than it has words, times the lengths of windows

@@ -235,7 +235,7 @@ def brute_contamination(docs, items):
     return sorted(out)
 
 
-def test_contamination(spark):
+def test_contamination(spark, monkeypatch):
     rnd = random.Random(4)
     vocabulary = ["the", "of", "ÉÉ", "éé", "x9", *(f"w{i}" for i in range(12))]
     some = lambda n: " ".join(rnd.choice(vocabulary) + rnd.choice(["", ",", "\n"]) for _ in range(n))
@@ -252,6 +252,9 @@ def test_contamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'c' AS window", "'d' AS doc_id")
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(decontaminate.contamination(df, bench)))
     assert got == brute_contamination(docs, items)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", -1)
+    joined = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(decontaminate.contamination(df, bench)))
+    assert joined == got
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and kept.count() == sum(not x[-1] for x in got)
     assert all(not r["contaminated"] for r in rows(decontaminate.contamination(df, bench.where("false"))))
