@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 12 << 20
 
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _RUN = rf"{_SPACE} (?:{_SPACE}|\z)"

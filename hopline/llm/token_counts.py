@@ -6,6 +6,7 @@ filled by the tokenizer itself. No pre-token is ever shuffled: to find the frequ
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from hopline.llm.chunks import cut
 
 #: Entries of the broadcast table (some 3 MB), of the list that a task sends, and of the counters and caches of a worker.
 FREQUENT, PER_TASK, COUNTER, CACHE = 1 << 16, 1 << 13, 1 << 17, 1 << 19
+#: Places of the table of what was seen once.
+SEEN = 1 << 22
 #: Pre-tokens longer than this are encoded each time, so that a cache has a bound in bytes.
 LONGEST = 64
 
@@ -34,22 +37,35 @@ _workers: dict[str, "PreTokens"] = {}
 
 
 class Memo(dict):
-    """A bounded dict that takes a key in when it is offered for the second time, so that what occurs once does not fill it."""
+    """A bounded dict that takes a key in when it is offered for the second time, so that what occurs once does not fill it.
+
+    What was offered once is a mark in a small table, cleared when an eighth of it is marked; a key that meets a mark of another only enters early.
+    """
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.seen = most, set()
+        self.most, self.offers, self.seen = most, 0, bytearray(SEEN)
 
     def offer(self, key: str, value) -> None:
         if len(key) > LONGEST or len(self) >= self.most:
             return
-        h = hash(key)
-        if h in self.seen:
+        at = hash(key) % SEEN
+        if self.seen[at]:
             self[key] = value
-        else:
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            self.seen.add(h)
+            return
+        self.seen[at] = 1
+        self.offers += 1
+        if self.offers >= SEEN // 8:
+            self.offers, self.seen = 0, bytearray(SEEN)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class PreTokens:

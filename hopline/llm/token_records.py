@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hopline.llm.chunks import cut, gather
-from hopline.llm.token_counts import Memo, PreTokens
+from hopline.llm.token_counts import Memo, PreTokens, give_back
 from hopline.session import materialize, shared_dir
 
 NULL_ID = -(1 << 63)
@@ -38,7 +38,7 @@ MASK_DELTA = 0xA282EAD8  # fixed value of the masked checksum
 #: Payloads of a task go out in batches of about this many bytes.
 BATCH_BYTES = 8 << 20
 #: Entries of a worker's cache.
-CACHE = 3 << 17
+CACHE = 1 << 18
 
 _workers: dict[tuple[str, str], "Encoder"] = {}
 
@@ -122,6 +122,7 @@ def _framer(path: str, dtype: str, end_id: int):
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        give_back()
 
     return run
 
