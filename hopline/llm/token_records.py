@@ -38,7 +38,9 @@ MASK_DELTA = 0xA282EAD8  # fixed value of the masked checksum
 #: Payloads of a task go out in batches of about this many bytes.
 BATCH_BYTES = 8 << 20
 #: Entries of a worker's cache.
-CACHE = 1 << 18
+CACHE = 1 << 17
+#: Rows of an Arrow batch: some 10 MB of text in the JVM and again in the worker.
+BATCH_ROWS = 3_000
 
 _workers: dict[tuple[str, str], "Encoder"] = {}
 
@@ -139,7 +141,13 @@ def write_records(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
     ranged = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     framed = ranged.mapInArrow(_framer(path, id_dtype(path), end_id), "record binary")
     data = f"{out}/records"
-    framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(data)
+    conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows)
+    conf.set(rows, str(BATCH_ROWS))  # read when the job starts, which it does below
+    try:
+        framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(data)
+    finally:
+        conf.set(rows, before)
     return data
 
 
