@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words a shingle, 3 of 64 bits) one document stays."""
+    """Of each group of near duplicates (Jaccard similarity of their five-word shingles 0.8 or more) one document stays."""
     return simhash.keep_one_of_each(docs)
 
 

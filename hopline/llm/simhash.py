@@ -16,7 +16,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopline.llm.common import with_row_key
 from hopline.operators.components import connected_components
 from hopline.session import discard, materialize
 
@@ -241,15 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class, one row with the smallest id (a null id only where there is no other).
+    """The rows of ``docs`` without near duplicates by the similarity of their shingle sets; see ``shingle_dedup``."""
+    from hopline.llm import shingle_dedup  # it uses this module
 
-    Rows are numbered, so that of repeated rows exactly one stays; for that ``docs`` must give its rows in the same order each time it is read, as
-    written tables do. Texts are not shuffled but for the last semi-join.
-    """
-    keyed = with_row_key(docs)
-    slim = keyed.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = materialize(fingerprints(slim, words_per_shingle=words_per_shingle), "fps")
-    classes = fps.join(fingerprint_classes(fps), "fp").select(F.col("doc_id").alias("__r"), "component_id")
-    ids = keyed.select("__row", F.col(id_col).alias("__id"))
-    best = classes.join(ids, F.col("__r") == F.col("__row")).groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("m"))
-    return keyed.join(best.select(F.col("m.__row").alias("__r")), F.col("__row") == F.col("__r"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return shingle_dedup.keep_one_of_each(docs, id_col, text_col, words_per_shingle)
