@@ -60,10 +60,11 @@ def queue(
     """(rows, order): one row (__row, doc_id, size, source_size, target) for each document, and the copies taken in mixing order (__row, copy, finish).
 
     A null source is a source of its own; null or empty texts have size 0 and are never taken; repeated ids are separate rows. ``__row`` numbers the
-    rows and is stable, as they are written; ``row_key`` names a column that has it already. An empty table gives two empty results.
+    rows and is stable, as they are written; ``row_key`` names a column of ``docs`` that the rows carry along, by which to find them again. An empty table gives two empty results.
     """
     slim = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
-    rows = docs.select(*slim, F.col(row_key).alias("__row")) if row_key else with_row_key(docs.select(*slim))
+    rows = with_row_key(docs.select(*slim, *([row_key] if row_key else [])))
+    carried = [row_key] if row_key else []
     rows = rows.withColumn("rnd", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = materialize(rows, "sizes")
     n = rows.count()
@@ -80,9 +81,9 @@ def queue(
     inner = W.partitionBy("source", "block").orderBy("rnd", "doc_id", "__row").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows_b.withColumn("cum", F.sum("size").over(inner)).alias("a").join(
         before.alias("b"), F.expr("a.source <=> b.source AND a.block = b.block")
-    ).select("a.__row", "a.doc_id", "a.source", "a.size", (F.col("before") + F.col("cum")).alias("cum"))
+    ).select("a.__row", "a.doc_id", "a.source", "a.size", *(F.col(f"a.{c}") for c in carried), (F.col("before") + F.col("cum")).alias("cum"))
     placed = placed.alias("a").join(hint(sources).alias("t"), F.expr("a.source <=> t.source")).select(
-        "__row", "doc_id", "size", "source_size", "target", "cum"
+        "__row", "doc_id", "size", *carried, "source_size", "target", "cum"
     )
     placed = materialize(placed, "placed")
     copies = placed.where("size > 0").select(
@@ -108,11 +109,21 @@ def queue(
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: whole rows of ``docs``, a row as often as it is taken, range-sorted by virtual finish time.
 
-    ``docs`` must give its rows in the same order each time it is read, as written tables do.
+    Rows are known by 128 bits of a hash of all their columns, which does not depend on how a job splits the files. Equal rows are interchangeable: one of
+    them stands for all, and is taken as often as they are together.
     """
-    keyed = with_row_key(docs)
-    _, taken = queue(keyed, row_key="__row", **params)
-    order = taken.select(F.col("__row").alias("__r"), F.col("copy").alias("__copy"), F.col("finish").alias("__finish"))
-    joined = keyed.join(order, F.col("__row") == F.col("__r"))
-    spread = joined.repartitionByRange("__finish", "__row", "__copy").sortWithinPartitions("__finish", "__row", "__copy")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(*(c.isNull().cast("string") for c in cols))  # a null does not change a hash
+    keyed = docs.select("*", F.struct(F.xxhash64(nulls, *cols).alias("a"), F.xxhash64(F.lit(1), nulls, *cols).alias("b")).alias("__key"))
+    placed, taken = queue(keyed, row_key="__key", **params)
+    order = taken.join(placed.select("__row", "__key"), "__row").select(
+        F.col("__key").alias("__k"), F.struct(F.col("finish").alias("__finish"), F.col("__row").alias("__r"), F.col("copy").alias("__copy")).alias("__at")
+    )
+    many = placed.groupBy("__key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("__key").alias("__k"))
+    order = order.join(many.withColumn("__many", F.lit(True)), "__k", "left")
+    once = keyed.join(order.where("__many IS NULL"), F.col("__key") == F.col("__k")).select(*cols, "__at.*")
+    one = keyed.join(many, F.col("__key") == F.col("__k"), "left_semi").dropDuplicates(["__key"])
+    again = one.join(order.where("__many"), F.col("__key") == F.col("__k")).select(*cols, "__at.*")
+    joined = once.unionByName(again)
+    spread = joined.repartitionByRange("__finish", "__r", "__copy").sortWithinPartitions("__finish", "__r", "__copy")
     return spread.select(*(F.col(f"`{c}`") for c in docs.columns))

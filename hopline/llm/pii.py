@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopline.llm.common import with_row_key
 from hopline.session import discard, materialize
 
-#: Rows (one for each document with such an entity) up to which the list of later attempts is broadcast; beyond, it is joined by document.
+#: Rows (one for each text with such an entity) up to which the list of later attempts is broadcast; beyond, it is joined by document.
 BROADCAST_RETRIES = 20_000
 #: Rows that a worker rewrites at a time.
 SLICE = 512
@@ -261,14 +260,14 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", keep: tupl
     """``keep`` columns (all by default) with ``text_col`` rewritten, n_entities, and counts by type (``pii_<type>``).
 
     A null text stays null and has no entities; rows that share an id or a text are rewritten each for itself, and alike; an empty table gives an empty
-    result. ``docs`` must give its rows in the same order each time it is read, as written tables do. Text is not shuffled while the documents with an
-    entity of a later attempt are at most BROADCAST_RETRIES; beyond, it is, once.
+    result. Rows are known by a hash of their text, which does not depend on how a job splits the files; what equal hashes share is a list of attempts,
+    which fits any text. Text is not shuffled while the texts with an entity of a later attempt are at most BROADCAST_RETRIES; beyond, it is, once.
     """
-    keyed = with_row_key(docs)
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(f"`{text_col}`")))
     found = materialize(mentions(keyed, text_col), "mentions")
     entities = materialize(found.select("kind", "norm").distinct(), "entities")
     retries = settle(entities, key)
-    lists = found.join(retries, ["kind", "norm"]).groupBy(F.col("__row").alias("__r")).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("__later"))
+    lists = found.join(retries, ["kind", "norm"]).groupBy(F.col("__row").alias("__r")).agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("__later"))
     lists = materialize(lists, "later")
     hint = F.broadcast if lists.count() <= BROADCAST_RETRIES else (lambda x: x)
     cols = list(keep) if keep else docs.columns

@@ -287,9 +287,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in its own text too; strings
     are judged on the input. Texts shorter than that stay. Rows that share an id count as different documents, so repeated rows of ``length`` bytes or
     more lose all; a null id stays null; other columns are ignored; an empty table gives an empty result. What remains may cut a UTF-8 character where
-    the strings do. ``docs`` must give its rows in the same order each time it is read, as written tables do.
+    the strings do. The numbered rows are written once, as a number taken from a scan changes with how a later job splits the files.
     """
-    keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
+    keyed = materialize(with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row"), "keyed")
     runs = repeated_runs(keyed.select("row", "text"), length, gram or max(1, length * GRAM // LENGTH), most)
     per_row = runs.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("first", "many")).alias("runs"))
     joined = keyed.select("row", "doc_id", F.col("text").cast("binary").alias("text")).join(per_row, F.col("row") == F.col("r"), "left")
