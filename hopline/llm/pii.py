@@ -158,7 +158,8 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
     words = []
     for i, word in enumerate(name.split(" ")):
         syllables, ends = _NAMES[script_of(word)]
-        body = "".join(s.pick(syllables) for _ in range(2 if script_of(word) == "cjk" else 2 + s.below(2)))
+        # names grow with the attempt, so that there are enough for any number of entities
+        body = "".join(s.pick(syllables) for _ in range((2 if script_of(word) == "cjk" else 2 + s.below(2)) + attempt // 2))
         # the first of several words is the given name and tells the gender
         words.append(body + s.pick(ends[gender if i == 0 and len(name.split(" ")) > 1 else "u"]))
     return f"{gender}:{' '.join(words)}"
@@ -207,17 +208,26 @@ def mentions(keyed: DataFrame, text_col: str) -> DataFrame:
     return keyed.select("__row", F.col(text_col).alias("text")).mapInArrow(run, "__row long, kind string, norm string")
 
 
+def visible(kind: str, norm: str) -> str:
+    """What a reader sees of a normal form: a name without the gender of its title."""
+    return norm.partition(":")[2].casefold() if kind == "person" else norm
+
+
 def settle(entities: DataFrame, key: bytes, max_attempts: int = 40) -> DataFrame:
     """(kind, norm, attempt) of the distinct entities whose attempt 0 would clash; after it, surrogates are distinct and none is a real entity.
 
-    Of those that want one surrogate the least keeps it, the rest move on; an entity that has settled is not moved by a later one.
+    Surrogates are compared as they are seen, names without their gender. Of those that want one surrogate the least keeps it, the rest move on; an entity that has settled is not moved by a later one.
     """
 
     @F.udf("string", useArrow=True)
     def make(kind, norm, attempt):
-        return surrogate(key, kind, norm, attempt)
+        return visible(kind, surrogate(key, kind, norm, attempt))
+
+    @F.udf("string", useArrow=True)
+    def seen(kind, norm):
+        return visible(kind, norm)
 
-    real = entities.select("kind", F.col("norm").alias("new"))
+    real = materialize(entities.select("kind", seen("kind", "norm").alias("new")).distinct(), "real")
     settled, open_ = None, entities.withColumn("attempt", F.lit(0))
     for _ in range(max_attempts):
         tried = materialize(open_.withColumn("new", make("kind", "norm", "attempt")), "tried")
