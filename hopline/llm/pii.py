@@ -58,6 +58,54 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+def _same(one: str, other: str) -> bool:
+    return one == other or "u" in (one, other)
+
+
+def persons(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, "person", normal form) of the names of a text: those after a title, and their full names and surnames elsewhere.
+
+    Titled names of the same words are one person where the genders of their titles allow it, and a titled surname is the person with that surname and
+    such a gender, the last one named before it or else the first after it. All mentions of a person have the fullest normal form.
+    """
+    titled = []
+    for m in _NAME.finditer(text):
+        name = re.sub(r"[’'][sS]?$", "", m[2])
+        titled.append((m.start(2), m.start(2) + len(name), _TITLE[m[1].casefold()], tuple(name.casefold().split())))
+    if not titled:
+        return []
+    people: list[list] = []  # first start, gender, words
+    who = {}
+
+    def find(at: int, gender: str, fits) -> int | None:
+        fit = [i for i, (_, g, words) in enumerate(people) if _same(g, gender) and fits(words)]
+        before = [i for i in fit if people[i][0] <= at]
+        return max(before, key=lambda i: people[i][0]) if before else min(fit, key=lambda i: people[i][0], default=None)
+
+    # gendered titles first, full names before surnames, so that the others find what they may stand for
+    for start, _, gender, words in sorted(titled, key=lambda t: (len(t[3]) == 1, t[2] == "u", t[0])):
+        i = find(start, gender, lambda w, words=words: w == words or (len(words) == 1 and w[-1:] == words))
+        if i is None:
+            i = len(people)
+            people.append([start, gender, words])
+        people[i][0] = min(people[i][0], start)
+        who[start] = i
+    norms = [f"{g}:{' '.join(words)}" for _, g, words in people]
+    out = [(start, end, "person", norms[who[start]]) for start, end, *_ in titled]
+    forms = {w for _, _, words in people for w in (words, words[-1:])}
+    taken, k = sorted((start, end) for start, end, *_ in titled), 0
+    any_form = "|".join("[ \u00a0]".join(map(re.escape, w)) for w in sorted(forms, key=lambda w: (-len(w), w)))
+    for m in re.finditer(rf"(?<![\w@])(?:{any_form})(?![\w@])", text, re.IGNORECASE):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        words = tuple(m[0].casefold().split())
+        if words not in forms or any(w[:1].islower() for w in m[0].split()) or (k < len(taken) and taken[k][0] < m.end()):
+            continue
+        i = find(m.start(), "u", lambda w: w == words or (len(words) == 1 and w[-1:] == words))
+        out.append((*m.span(), "person", norms[i]))
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of the entities of a text, in order, none inside another."""
     found: list[tuple[int, int, str, str]] = []
@@ -79,8 +127,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             digits = re.sub(r"\D", "", m[0])
             if 8 <= len(digits) <= 15:
                 found.append((*m.span(), "phone", digits))
-    for m in _NAME.finditer(text):
-        found.append((*m.span(2), "person", f"{_TITLE[m[1].casefold()]}:{' '.join(m[2].casefold().split())}"))
+    found += persons(text)
     found.sort(key=lambda e: (e[0], TYPES.index(e[2])))
     out, end = [], -1
     for e in found:
@@ -166,7 +213,7 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
 
 
 def render(kind: str, mention: str, new: str) -> str:
-    """The surrogate in the layout of a mention."""
+    """The surrogate in the layout of a mention; one of a surname alone has its last word."""
     if kind in ("phone", "card", "ssn"):
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in mention)
@@ -176,7 +223,8 @@ def render(kind: str, mention: str, new: str) -> str:
     if kind == "email":
         return new.upper() if mention.isupper() else new
     if kind == "person":
-        old, fresh = re.split(r"([  ])", mention), iter(new.partition(":")[2].split(" "))
+        words = new.partition(":")[2].split(" ")
+        old, fresh = re.split(r"([  ])", mention), iter(words[-1:] if len(mention.split()) == 1 else words)
         cased = lambda was, new_word: new_word.upper() if len(was) > 1 and was.isupper() else new_word[:1].upper() + new_word[1:]
         return "".join(w if not w.strip() else cased(w, next(fresh)) for w in old if w)
     return new

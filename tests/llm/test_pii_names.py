@@ -21,3 +21,26 @@ def test_more_names_than_the_first_attempts_have(spark, monkeypatch):
     later = {r["norm"]: r["attempt"] for r in rows(pii.settle(df, KEY))}
     final = {pii.surrogate(KEY, "person", n, later.get(n, 0)).partition(":")[2] for n in norms}
     assert later and len(final) == len(norms)
+
+
+def replaced(text):
+    return pii._replaced(text, KEY, {}, {})[0]
+
+
+def test_later_mentions_have_the_parts_of_the_name():
+    text = "Mr John Smith called. John Smith paid; Smith left. SMITH's car, Dr Smith, Mr Smith and Mr. JOHN SMITH; a smith stays."
+    new = replaced(text)
+    first, last = new.split()[1:3]
+    last = last.rstrip(".")
+    assert "Smith" not in new and "John" not in new and "SMITH" not in new
+    want = f"Mr {first} {last} called. {first} {last} paid; {last} left. {last.upper()}'s car, Dr {last}, Mr {last} and Mr. {first.upper()} {last.upper()}; a smith stays."
+    assert new == want
+
+
+def test_people_of_one_surname():
+    new = replaced("Mrs Smith met Mr Smith. Frau Jane Doe and Herr Max Doe: Jane Doe sat, Max Doe stood, Herr Doe left. Иван ждал").split()
+    assert new[1] != new[4].rstrip(".")
+    (jane, doe), (max_, other) = new[6:8], [w.rstrip(":") for w in new[10:12]]
+    assert new[12:14] == [jane, doe] and new[15:17] == [max_, other] and new[19] == other
+    assert replaced("господин Иван Петров был. Петров ушёл").split()[4] == replaced("господин Иван Петров был. Петров ушёл").split()[2]
+    assert replaced("Smith met John Smith") == "Smith met John Smith"
