@@ -154,17 +154,24 @@ _R = f"""SELECT CAST(1 AS BIGINT) AS stop, {_T0} AS t UNION SELECT h.next_stop,
   WHERE h.source = 'f0' AND h.departure_time >= r.t AND h.next_arrival <= {_CUT}"""
 
 
+def _stop_key(stop: str):
+    """Stop ids are unique only within a feed."""
+    return F.concat_ws(":", "source", stop)
+
+
 def _hops_of(t: Timetable) -> DataFrame:
-    return t.hops().where("source = 'f0'").withColumnRenamed("stop_id", "stop")
+    return t.hops().withColumn("stop", _stop_key("stop_id")).withColumn("next_stop", _stop_key("next_stop"))
 
 
 def _first_stop(t: Timetable) -> DataFrame:
-    return t.spark.range(1, 2).select(F.col("id").alias("stop"))
+    return t.spark.range(1).select(F.lit("f0:1").alias("stop"))
 
 
 @query("x09_earliest_arrival", view("hops", **{"r(stop, t)": _R}) + _ARR)
 def x09(t):
-    return routing.earliest_arrivals(_hops_of(t), _first_stop(t), _T0, _CUT)
+    # no hop leaves its feed, so all stops found are of the first one's
+    found = routing.earliest_arrivals(_hops_of(t), _first_stop(t), _T0, _CUT)
+    return found.select(F.substring_index("stop", ":", -1).cast("long").alias("stop"), "arrival_time")
 
 
 @query(
@@ -175,7 +182,7 @@ x AS (SELECT cell, travel, floor(least(120 - travel, 20) * 0.6e0) AS radius FROM
 SELECT CAST(cell + delta AS BIGINT) AS cell, round(min(travel + k / 0.6e0), 6) AS value FROM x JOIN ring ON k <= radius GROUP BY ALL""",
 )
 def x09b(t):
-    places = t.stops().where("source = 'f0'").withColumnRenamed("stop_id", "stop")
+    places = t.stops().withColumn("stop", _stop_key("stop_id"))
     return routing.isochrone_walk(_hops_of(t), places, _first_stop(t), _T0, 120)
 
 
