@@ -561,7 +561,7 @@ def x31(t):
     # written tables, as the pipeline has them: the plan over the raw view repeats its joins many times
     day = materialize(_pattern_day(t), "day")
     s = stats.stop_statistics(day, merged=False, to_terminal=True)
-    return race.race_pairs(materialize(edges.hops(day), "hops"), s, t.population(), n=200, seed=7)
+    return race.race_pairs(materialize(edges.hops(day), "hops"), s, t.population(), n=3650, seed=7)
 
 
 @query(
