@@ -129,16 +129,19 @@ def _framer(path: str, dtype: str, end_id: int):
     return run
 
 
-def write_records(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_records(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, ...] | None = None) -> str:
     """Encode each row of ``docs`` with the tokenizer file ``path``, append ``end_id``, and write records in ascending id order; returns their folder.
 
+    ``order`` names columns to sort by in place of the id: ``("_metadata.file_path", "_metadata.row_index")`` for the order in which files were written.
+
     A null text has the end id alone; null ids come first; rows that share an id keep a record each, ordered by a hash of the text. An empty table gives
     a folder without records; other columns are ignored. Texts are shuffled once, to be range-sorted by (id, hash of the text), so rows that share an
     id do not pile up in one task; each task encodes what it has and appends to its file, whose name orders it among the others.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    ranged = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order or ())))
+    by = [f"__o{i}" for i in range(len(order))] if order else ["doc_id", "tie"]
+    ranged = slim.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
     framed = ranged.mapInArrow(_framer(path, id_dtype(path), end_id), "record binary")
     data = f"{out}/records"
     conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -177,7 +180,7 @@ def read_index(spark: SparkSession, data: str, dtype: str) -> DataFrame:
     )
 
 
-def export_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int = 0, **cols: str) -> tuple[DataFrame, str]:
+def export_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int = 0, **cols) -> tuple[DataFrame, str]:
     """Write record files and the index under ``out`` (a new folder in the shared one by default); returns (index, folder)."""
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/hopline/tokens-{uuid.uuid4().hex}"
