@@ -145,13 +145,62 @@ def test_classifier_edge_cases(spark):
     assert quality.classify(documents(spark, []), none).count() == 0
 
 
-def test_sites_shrink_to_their_parents(spark):
+def brute_sites(docs, weight=quality.SITE_WEIGHT):
+    """(host, path, logit) -> posterior log odds, by the arithmetic of the docstrings."""
     import math
 
-    rows_ = [("a", "x", 0.9)] * 200 + [("a", "y", 0.9)] * 2 + [("b", "x", 0.1)] * 200 + [(None, None, 0.9)] * 1
-    df = spark.createDataFrame([(h, p, (math.log(r / (1 - r)),)) for h, p, r in rows_], "host string, path string, __e struct<low: double>")
-    odds = {(r["host"], r["path"]): r["low"] for r in rows(quality.site_odds(df, ["low"]))}
-    assert odds["b", "x"] < 0 < odds[None, None] < odds["a", "y"] <= odds["a", "x"]
+    p = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda x: math.log(x / (1 - x))
+    total, base = len(docs), sum(p(e) for *_, e in docs) / len(docs)
+    by_host, by_path = {}, {}
+    for h, q, e in docs:
+        by_host.setdefault(h, []).append(p(e))
+        by_path.setdefault((h, q), []).append(p(e))
+
+    def strength(groups):  # of (size, rate, prior)
+        spread = sum(n * (r - b) ** 2 for n, r, b in groups) / total
+        expected = sum(b * (1 - b) for *_, b in groups) / total
+        return min(max(max(b * (1 - b) for *_, b in groups) / max(spread - expected, 1e-9), quality.STRENGTH[0]), quality.STRENGTH[1])
+
+    k = strength([(len(v), sum(v) / len(v), base) for v in by_host.values()])
+    up = {h: (sum(v) + k * base) / (len(v) + k) for h, v in by_host.items()}
+    j = strength([(len(v), sum(v) / len(v), up[h]) for (h, _), v in by_path.items()])
+    out = []
+    for h, q, e in docs:
+        host, path = by_host[h], by_path[h, q]
+        above = (sum(host) - p(e) + k * base) / (len(host) - 1 + k)
+        out.append(e + weight * (logit((sum(path) - p(e) + j * above) / (len(path) - 1 + j)) - logit(base)))
+    return out
+
+
+def test_posteriors_against_the_arithmetic(spark):
+    rnd = random.Random(6)
+    docs = [(h, q, rnd.gauss(m, 1)) for h, q, n, m in [("a", "x", 80, 2), ("a", "y", 2, 2), ("b", "x", 80, -2), ("b", None, 9, 1), (None, None, 1, 2), ("c", "x", 1, -1)] for _ in range(n)]
+    df = spark.createDataFrame([(h, q, (e,)) for h, q, e in docs], "host string, path string, __e struct<low: double>")
+    sites, priors = quality.site_sums(df, ["low"])
+    got = sorted((str(r["host"]), str(r["path"]), r["__e"]["low"], r["__l_low"]) for r in quality.decided(df, sites, priors, 1.0).collect())
+    want = sorted((str(h), str(q), e, x) for (h, q, e), x in zip(docs, brute_sites(docs)))
+    for g, w in zip(got, want):
+        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-9
+    before, quality.BROADCAST_SITES = quality.BROADCAST_SITES, -1
+    try:  # the joined way gives the same
+        assert sorted((str(r["host"]), str(r["path"]), r["__e"]["low"], r["__l_low"]) for r in quality.decided(df, sites, priors, 1.0).collect()) == got
+    finally:
+        quality.BROADCAST_SITES = before
+
+
+def test_counts_of_the_sample(spark):
+    docs, labels = corpus(60, 4)
+    found = quality.labelled_features(documents(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", "text")
+    sample = found.collect()
+    assert len(sample) == 60
+    import numpy as np
+
+    want = np.zeros((2, 2, 2, quality.BUCKETS))
+    for r in sample:
+        want[0, r["fold"], r["low"], r["buckets"]] += 1
+        want[1, r["fold"], r["low"], r["buckets"]] += r["often"]
+    assert (quality._counts(found, "low") == want).all()
 
 
 def test_pipeline_stages(spark, tmp_path):
