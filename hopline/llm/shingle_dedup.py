@@ -1,18 +1,25 @@
 """Near duplicates by the Jaccard similarity of their shingle sets, for the corpus pipeline.
 
-Candidates come from SimHash: a fingerprint of 128 bits in eight segments of 16, and each text is indexed under each of its segments and under the
-variants of the segment with one zero bit set. So two texts meet where a segment differs by one bit at most, which at similarity 0.8 (some 19 bits of
-128) at least one of eight does in 93 % of pairs. What meets and differs by at most BOUND bits is compared on the shingle sets themselves, and only
-pairs of similarity LEAST or more are links. Of the pairs under one key only a minimum spanning forest by bits, which has the links of every bound,
-and the nearest few of each text go on, never all pairs.
+Candidates come from SimHash: a fingerprint in segments, and each text is indexed under each of its segments and under the variants of the segment with
+one zero bit set. So two texts meet where a segment differs by one bit at most. Segments are as wide as the number of texts asks for, so that a key has
+some 200 chance rows at most, and as many as it takes for pairs of similarity 0.8 to meet with probability MEET (up to a million texts: eight of 16
+bits). What meets and differs by at most some bits more than expected is compared on the shingle sets themselves, and only pairs of similarity LEAST or
+more are links.
+
+Of the pairs under one key a minimum spanning forest by bits and the nearest few of each text are compared first. Only classes count in the end, so of
+the pairs that were left out those still matter whose texts are in different classes then. They go into further rounds, each with 16 times as many of
+the nearest, until no pair between different classes is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +28,46 @@ from hopline.llm.simhash import _forest
 from hopline.operators.components import connected_components
 from hopline.session import discard, materialize
 
-LEAST = 0.8
-SEGMENTS, WIDTH = 8, 16
-#: Bits of 128 in which candidates may differ: 19 are expected at similarity 0.8, with a standard deviation of 4.
-BOUND = 30
-#: Nearest texts under a key that are candidates besides the forest; in groups up to this size that is all pairs.
+LEAST, MEET = 0.8, 0.925
+#: Probability that a bit differs at similarity LEAST, and standard deviations above the mean up to which candidates may differ.
+DIFFERS, DEVIATIONS = math.acos(2 * LEAST / (1 + LEAST)) / math.pi, 2.6
+#: Nearest texts under a key that are compared besides the forest, in the first round; in groups up to this size that is all pairs.
 NEAREST = 64
 #: Rows of one key that are compared in one go, and pairs that are compared at a time.
 BLOCK, PAIRS = 2048, 1 << 20
 #: Shingles hashed at a time.
-SHINGLES = 1 << 16
-#: Texts up to which the list of those to be verified is broadcast (16 bytes each); beyond, it is joined.
+SHINGLES = 1 << 14
+#: Texts (keys) up to which the list of those to be verified (gone through again) is broadcast (16 bytes each); beyond, it is joined.
 BROADCAST_TEXTS = 250_000
 
-_FLIPS = np.array([0, *(1 << b for b in range(WIDTH))], np.uint16)
+
+@dataclass(frozen=True)
+class Shape:
+    """Segments of a fingerprint, and their bits."""
+
+    segments: int
+    width: int
+
+    @classmethod
+    def of(cls, n_texts: int) -> "Shape":
+        width = 16
+        while n_texts > 1 << (width + 4):
+            width += 4
+        hit = (1 - DIFFERS) ** width + width * DIFFERS * (1 - DIFFERS) ** (width - 1)
+        return cls(math.ceil(math.log(1 - MEET) / math.log(1 - hit)), width)
+
+    @property
+    def bits(self) -> int:
+        return self.segments * self.width
+
+    @property
+    def words(self) -> int:
+        return -(-self.bits // 64)
+
+    @property
+    def bound(self) -> int:
+        """Bits in which candidates may differ."""
+        return round(DIFFERS * self.bits + DEVIATIONS * math.sqrt(self.bits * DIFFERS * (1 - DIFFERS)))
 
 
 def grams(text: str | None, words_per_shingle: int = 5) -> tuple[int, np.ndarray]:
@@ -50,45 +83,91 @@ def grams(text: str | None, words_per_shingle: int = 5) -> tuple[int, np.ndarray
     return xxhash.xxh3_64_intdigest(joined), np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b]) for a, b in cuts), np.uint64, n))
 
 
-def fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of 128 bits as two u64."""
-    counts = np.zeros(128, np.int64)
+def fingerprint(hashes: np.ndarray, shape: Shape) -> np.ndarray:
+    """SimHash as u64 words; the bits beyond the shape's are zero."""
+    counts = np.zeros(64 * shape.words, np.int64)
     for at in range(0, len(hashes), SHINGLES):
         h = hashes[at : at + SHINGLES]
-        other = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        other = (other ^ (other >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        both = np.stack([h, other ^ (other >> np.uint64(32))], axis=1).astype("<u8")
-        counts += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        drawn = [h]
+        for k in range(1, shape.words):
+            x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * k + 1)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            drawn.append(x ^ (x >> np.uint64(32)))
+        both = np.stack(drawn, axis=1).astype("<u8")
+        counts += np.unpackbits(both.view(np.uint8).reshape(-1, 8 * shape.words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    counts[shape.bits :] = 0
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
-def _prints(words_per_shingle: int):
+def _matrix(col: pa.Array, words: int) -> np.ndarray:
+    """Binary values of equal size as rows of u64."""
+    flat = np.frombuffer(col.buffers()[2], "<u8") if len(col) and col.buffers()[2] is not None else np.zeros(0, "<u8")
+    return flat[col.offset * words : (col.offset + len(col)) * words].reshape(-1, words)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    size = rows.shape[1] * 8
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _prints(words_per_shingle: int, shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, fps = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, 2), np.uint64)
+            same, fps = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, shape.words), np.uint64)
             for i, text in enumerate(batch.column("text")):
                 same[i], found = grams(text.as_py(), words_per_shingle)
-                fps[i] = fingerprint(found)
-            cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (same, fps[:, 0], fps[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), *cols], ["k", "id", "s", "f0", "f1"])
+                fps[i] = fingerprint(found, shape)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), pa.array(same.view(np.int64)), _binary(fps)], ["k", "id", "s", "f"])
 
     return run
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (s, f0, f1) -> (key, flip, f0, f1, s): each under its segments and, with flip 1, under those with one zero bit set."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            s, f0, f1 = (part.column(c).to_numpy(zero_copy_only=False) for c in ("s", "f0", "f1"))
-            segments = np.ascontiguousarray(np.stack([f0, f1], axis=1)).view("<u2").reshape(-1, SEGMENTS)
-            keys = segments[:, :, None] | _FLIPS
-            take = keys != segments[:, :, None]
-            take[:, :, 0] = True
-            row, segment, flip = np.nonzero(take)
-            key = (segment.astype(np.int32) << WIDTH) + keys[row, segment, flip].astype(np.int32)
-            cols = [key, (flip > 0).astype(np.int8), f0[row], f1[row], s[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "flip", "f0", "f1", "s"])
+@dataclass
+class Rows:
+    """Columns of the index: key, whether a bit of the segment is set, fingerprint, text, class of the text so far."""
+
+    key: np.ndarray
+    flip: np.ndarray
+    f: np.ndarray
+    s: np.ndarray
+    c: np.ndarray
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch | pa.Table, words: int) -> "Rows":
+        col = lambda c: batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c)
+        plain = {c: col(c).to_numpy(zero_copy_only=False) for c in ("key", "flip", "s")}
+        return cls(**plain, f=_matrix(col("f"), words), c=col("c").to_numpy(zero_copy_only=False) if "c" in batch.schema.names else plain["s"])
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def at(self, which) -> "Rows":
+        return Rows(*(getattr(self, x.name)[which] for x in fields(self)))
+
+    def and_then(self, other: "Rows") -> "Rows":
+        return Rows(*(np.concatenate([getattr(r, x.name) for r in (self, other)]) for x in fields(self)))
+
+
+def _indexed(shape: Shape):
+    """Rows (s, f) -> (key, flip, f, s): each under its segments and, with flip 1, under those with one zero bit set."""
+    weights, flips = 1 << np.arange(shape.width), np.array([0, *(1 << b for b in range(shape.width))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                s, f = part.column("s").to_numpy(zero_copy_only=False), _matrix(part.column("f"), shape.words)
+                bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8 * shape.words), axis=1, count=shape.bits, bitorder="little")
+                segments = bits.reshape(-1, shape.segments, shape.width).astype(np.int64) @ weights
+                keys = segments[:, :, None] | flips
+                take = keys != segments[:, :, None]
+                take[:, :, 0] = True
+                row, segment, flip = np.nonzero(take)
+                key = (segment << shape.width) + keys[row, segment, flip]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((flip > 0).astype(np.int8)), _binary(f[row]), pa.array(s[row])], ["key", "flip", "f", "s"])
+
+    return run
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -112,31 +191,33 @@ def _spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
         label = to[label]
 
 
-def _nearest(a: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which pairs are among the NEAREST of their ``a``."""
-    order = np.lexsort((bits, a))
-    starts = np.concatenate([[True], a[order][1:] != a[order][:-1]])
+def _nearest(key: np.ndarray, a: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` nearest of their ``a`` under their key."""
+    order = np.lexsort((bits, a, key))
+    k, x = key[order], a[order]
+    starts = np.concatenate([[True], (x[1:] != x[:-1]) | (k[1:] != k[:-1])])
     rank = np.arange(len(a)) - np.maximum.accumulate(np.where(starts, np.arange(len(a)), 0))
     out = np.zeros(len(a), bool)
-    out[order] = rank < NEAREST
+    out[order] = rank < most
     return out
 
 
-def _chosen(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """The candidates (a, b) of some groups, a < b, from their pairs (a, b, bits) within the bound."""
+def _chosen(found: list[tuple], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (a, b) to verify, a < b, from the pairs (key, a, b, bits) within the bound, and the keys of which some are left out."""
+    found = [x for x in found if len(x[0])]
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-    if len(a):
-        keep = _spanning(a, b, bits) | _nearest(a, bits) | _nearest(b, bits)
-        a, b = a[keep], b[keep]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _compare(rows: list[np.ndarray], first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple]:
-    """(a, b, bits) of the pairs within the bound of each row ``first`` with rows lo to hi (exclusive); two flipped rows are no pair."""
-    _, flip, f0, f1, s = rows
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    key, a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = _nearest(key, a, bits, most) & _nearest(key, b, bits, most)
+    if not keep.all():
+        keep |= _nearest(key, a, bits, most) | _nearest(key, b, bits, most) | _spanning(a, b, bits)
+    pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], np.unique(key[~keep])
+
+
+def _compare(one: Rows, two: Rows, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: int) -> Iterator[tuple]:
+    """(key, a, b, bits) of the pairs within the bound of each row ``first`` of ``one`` with rows lo to hi (exclusive) of ``two``; rows of one class, and two flipped ones, are no pair."""
     many = np.maximum(hi - lo, 0)
     ends = np.cumsum(many)
     at = 0
@@ -145,102 +226,132 @@ def _compare(rows: list[np.ndarray], first: np.ndarray, lo: np.ndarray, hi: np.n
         n = many[at:to]
         i = np.repeat(first[at:to], n)
         j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:to], n)
-        bits = np.bitwise_count((f0[i] ^ f0[j]).view(np.uint64)) + np.bitwise_count((f1[i] ^ f1[j]).view(np.uint64))
-        ok = (bits <= BOUND) & (s[i] != s[j]) & ((flip[i] == 0) | (flip[j] == 0))
-        if ok.any():
-            yield s[i[ok]], s[j[ok]], bits[ok]
+        ok = np.flatnonzero((one.c[i] != two.c[j]) & ((one.flip[i] == 0) | (two.flip[j] == 0)))
+        i, j = i[ok], j[ok]
+        bits = np.bitwise_count(one.f[i, 0] ^ two.f[j, 0]).astype(np.int64)
+        for w in range(1, one.f.shape[1]):
+            bits += np.bitwise_count(one.f[i, w] ^ two.f[j, w])
+        near = np.flatnonzero(bits <= bound)
+        i, j = i[near], j[near]
+        yield one.key[i], one.s[i], two.s[j], bits[near]
         at = to
 
 
-def _within(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _within(rows: Rows, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates in whole groups of equal keys; rows are sorted by (key, flip)."""
-    key, flip = rows[:2]
-    first = np.flatnonzero(flip == 0)
-    return _chosen(list(_compare(rows, first, first + 1, np.searchsorted(key, key[first], "right"))))
+    first = np.flatnonzero(rows.flip == 0)
+    return _chosen(list(_compare(rows, rows, first, first + 1, np.searchsorted(rows.key, rows.key[first], "right"), shape.bound)), NEAREST)
 
 
-def _between(rows: list[np.ndarray], cut: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of rows before ``cut`` with those from it on."""
-    first = np.arange(cut)
-    return _chosen(list(_compare(rows, first, np.full(cut, cut), np.full(cut, len(rows[0])))))
+_MET = "kind byte, a long, b long, key long, flip byte, f binary, s long, block int"
 
 
-def _scanned(kind: int, cols: list[np.ndarray], block: int) -> pa.RecordBatch:
-    n, names = len(cols[0]), ["kind", "key", "flip", "f0", "f1", "s", "block"]
-    arrays = [np.full(n, kind, np.int8), *cols, np.full(n, block, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in arrays], names)
+def _met(kind: int, a: np.ndarray, b: np.ndarray, rows: Rows, block: int = 0) -> pa.RecordBatch:
+    """Kind 0: pairs to verify; kind 1: rows of a group that is not done."""
+    n = max(len(a), len(rows))
+    fill = lambda x, t: pa.array(x) if len(x) == n else pa.nulls(n, t)
+    cols = [pa.array(np.full(n, kind, np.int8)), fill(a, pa.int64()), fill(b, pa.int64()), fill(rows.key, pa.int64()), fill(rows.flip, pa.int8())]
+    cols += [_binary(rows.f) if len(rows) == n else pa.nulls(n, pa.binary()), fill(rows.s, pa.int64()), pa.array(np.full(n, block, np.int32))]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "key", "flip", "f", "s", "block"])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = np.zeros(len(a), np.int64)
-    return _scanned(0, [none.astype(np.int32), none.astype(np.int8), a, b, none], 0)
+def _scanned(shape: Shape):
+    """Rows sorted by (key, flip) -> the pairs within groups, or within blocks of a larger one, and the rows of groups that are not done by that, by block."""
+    none = np.zeros(0, np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = Rows(none, none.astype(np.int8), np.zeros((0, shape.words), np.uint64), none, none)
+        held, big, block = empty, None, 0  # the key whose group has gone out in blocks so far
+
+        def small(rows: Rows) -> Iterator[pa.RecordBatch]:
+            a, b, open_ = _within(rows, shape)
+            if len(a):
+                yield _met(0, a, b, empty)
+            left = rows.at(np.isin(rows.key, open_))
+            if len(left):
+                yield _met(1, none, none, left)
+
+        def large(rows: Rows) -> Iterator[pa.RecordBatch]:
+            nonlocal big, block
+            if rows.key[0] != big:
+                big, block = int(rows.key[0]), 0
+            for at in range(0, len(rows), BLOCK):
+                part = rows.at(slice(at, at + BLOCK))
+                a, b, _ = _within(part, shape)
+                if len(a):
+                    yield _met(0, a, b, empty)
+                yield _met(1, none, none, part, block)
+                block += 1
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, flip) -> kind 0: candidates (f0 and f1 are a and b); kind 1: the rows of groups larger than a block, by block."""
-    held: list[np.ndarray] | None = None
-    big, block = None, 0  # the key whose group has gone out in blocks so far
+        def out(rows: Rows) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], rows.key[1:] != rows.key[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+            wide = (sizes > BLOCK) | (rows.key[starts] == (-1 if big is None else big))
+            few = ~np.repeat(wide, sizes)
+            if few.any():
+                yield from small(rows.at(few))
+            for at, n in zip(starts[wide].tolist(), sizes[wide].tolist(), strict=True):
+                yield from large(rows.at(slice(at, at + n)))
 
-    def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        nonlocal big, block
-        starts = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(rows[0])]]))
-        small = np.repeat((sizes <= BLOCK) & (rows[0][starts] != (-1 if big is None else big)), sizes)
-        if small.any():
-            yield _pairs(*_within([c[small] for c in rows]))
-        for at, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            if small[at]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if rows[0][at] != big:
-                big, block = int(rows[0][at]), 0
-            for a in range(at, at + n, BLOCK):
-                part = [c[a : min(a + BLOCK, at + n)] for c in rows]
-                yield _pairs(*_within(part))
-                yield _scanned(1, part, block)
-                block += 1
-
-    for batch in batches:
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "flip", "f0", "f1", "s")]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        last = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
-        whole = last if len(held[0]) - last < BLOCK else last + (len(held[0]) - last) // BLOCK * BLOCK
-        if whole and whole > last:  # the last group fills a block and may go on
+            held = held.and_then(Rows.read(batch, shape.words))
+            last = int(np.searchsorted(held.key, held.key[-1], "left"))
             if last:
-                yield from out([c[:last] for c in held])
-            if held[0][last] != big:
-                big, block = int(held[0][last]), 0
-            yield from out([c[last:whole] for c in held])
-        elif whole:
-            yield from out([c[:whole] for c in held])
-        held = [c[whole:] for c in held]
-    if held is not None and len(held[0]):
-        yield from out(held)
-
-
-def _pair_of_blocks(args: tuple, table: pa.Table) -> pa.Table:
-    one = args[1].as_py()
-    table = table.sort_by("block")
-    rows = [table.column(c).to_numpy() for c in ("key", "flip", "f0", "f1", "s")]
-    a, b = _between(rows, int((table.column("block").to_numpy() == one).sum()))
-    return pa.table({"a": a, "b": b})
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of ``nodes`` (s, f0, f1) to be verified."""
-    index = nodes.mapInArrow(_index, "key int, flip byte, f0 long, f1 long, s long")
+                yield from out(held.at(slice(0, last)))
+                held = held.at(slice(last, None))
+            if len(held) > BLOCK:  # the last group is larger than a block and may go on
+                full = len(held) // BLOCK * BLOCK
+                yield from large(held.at(slice(0, full)))
+                held = held.at(slice(full, None))
+        if len(held):
+            yield from out(held)
+
+    return run
+
+
+def first_candidates(nodes: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """From ``nodes`` (s, f): pairs (a, b), a < b, and the rows (key, flip, f, s, block) of groups in which pairs were left out."""
+    index = nodes.select("s", "f").mapInArrow(_indexed(shape), "key long, flip byte, f binary, s long")
     rows = index.repartition(F.col("key")).sortWithinPartitions("key", "flip")
-    found = materialize(rows.mapInArrow(_scan, "kind byte, key int, flip byte, f0 long, f1 long, s long, block int"), "met")
-    near = found.where("kind = 0").select(F.col("f0").alias("a"), F.col("f1").alias("b"))
-    wide = found.where("kind = 1").drop("kind")
-    if not wide.isEmpty():
-        # each row of a large group goes to the pairs of its block with every other one
-        n = wide.groupBy("key").agg((F.max("block") + 1).alias("n"))
-        dealt = wide.join(n, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("other != block")
-        dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "flip", "f0", "f1", "s", "block")
-        near = near.union(dealt.groupBy("key", "one", "two").applyInArrow(_pair_of_blocks, "a long, b long"))
-    out = materialize(near.distinct(), "candidates")
-    discard(found)
-    return out
+    found = materialize(rows.mapInArrow(_scanned(shape), _MET), "met")
+    return found.where("kind = 0").select("a", "b").distinct(), found.where("kind = 1").select("key", "flip", "f", "s", "block")
+
+
+def _of_two(shape: Shape, most: int):
+    """A block of a group with some of the rows outside its largest class -> pairs, or a key (as a, with null b) of which some are left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = Rows.read(table.filter(pc.equal(table.column("side"), 0)), shape.words)
+        others = Rows.read(table.filter(pc.equal(table.column("side"), 1)), shape.words)
+        first = np.arange(len(mine))
+        a, b, open_ = _chosen(list(_compare(mine, others, first, np.zeros(len(mine), np.int64), np.full(len(mine), len(others)), shape.bound)), most)
+        return pa.table({"a": pa.concat_arrays([pa.array(a), pa.array(open_)]), "b": pa.concat_arrays([pa.array(b), pa.nulls(len(open_), pa.int64())])})
+
+    return run
+
+
+def more_candidates(left: DataFrame, classes: DataFrame, shape: Shape, most: int) -> tuple[DataFrame, DataFrame]:
+    """From the rows ``left`` of groups not done and the classes (node, component) so far: pairs between classes, and the keys not done yet.
+
+    Of each group the largest class needs no comparing inside. All rows outside it are held against all of the group, a block with some 2,048 of them at a time.
+    """
+    rows = left.join(classes, F.col("s") == F.col("node"), "left").select("key", "flip", "f", "s", "block", F.coalesce("component", "s").alias("c"))
+    rows = materialize(rows, "classed")
+    size = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("block"))
+    group = size.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.max("block").alias("top"))
+    group = materialize(group.where("rest > 0").select("key", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("parts"), "top"), "groups")
+    hint = F.broadcast if group.count() <= BROADCAST_TEXTS else (lambda x: x)
+    dealt = rows.join(hint(group), "key")
+    one = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(0))
+    two = dealt.where("c != main").withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    two = two.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("top")))).withColumn("side", F.lit(1))
+    cols = ["key", "block", "part", "flip", "f", "s", "c", "side"]
+    met = one.select(cols).unionByName(two.select(cols)).groupBy("key", "block", "part").applyInArrow(_of_two(shape, most), "a long, b long")
+    met = materialize(met, "met")
+    discard(rows)
+    return met.where("b IS NOT NULL").distinct(), met.where("b IS NULL").select(F.col("a").alias("key")).distinct()
 
 
 def _sets(words_per_shingle: int):
@@ -264,35 +375,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
 
-def links(texts: DataFrame, nodes: DataFrame, words_per_shingle: int = 5) -> DataFrame:
-    """(src, dst): verified pairs of ``nodes`` (s, k, f0, f1), whose texts stand under k in ``texts`` (k, text)."""
-    pairs = candidates(nodes.select("s", "f0", "f1"))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("grams").alias("y")), "b")
+    return materialize(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "x", "y").mapInArrow(_verify, "src long, dst long"), "links")
+
+
+def classes(texts: DataFrame, nodes: DataFrame, shape: Shape, words_per_shingle: int = 5) -> DataFrame:
+    """(node, component) of the ``nodes`` (s, k, f) that have a link; their texts stand under k in ``texts`` (k, text)."""
+    pairs, left = first_candidates(nodes, shape)
+    pairs = materialize(pairs, "candidates")
+    # the forest of a group holds each text that has a pair, so these are the texts of all rounds
     wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "s").join(nodes.select("s", "k"), "s"), "wanted")
     hint = F.broadcast if wanted.count() <= BROADCAST_TEXTS else (lambda x: x)
     sets = texts.join(hint(wanted), "k").select("s", "text").mapInArrow(_sets(words_per_shingle), "s long, grams binary")
     sets = materialize(sets.dropDuplicates(["s"]), "sets")
-    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("grams").alias("y")), "b")
-    out = materialize(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "x", "y").mapInArrow(_verify, "src long, dst long"), "links")
-    for df in (sets, wanted, pairs):
-        discard(df)
+    links = _verified(pairs, sets)
+    discard(wanted)
+    most = NEAREST
+    while True:
+        out = connected_components(links)
+        if left.isEmpty():
+            break
+        most *= 16
+        pairs, keys = more_candidates(left, out, shape, most)
+        pairs = materialize(pairs, "candidates")
+        links = links.union(_verified(pairs, sets))
+        left = materialize(left.join(keys, "key", "left_semi"), "left")
+    discard(sets)
     return out
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, shape: Shape | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class, one row with the smallest id (a null id only where there is no other).
 
     A class is connected by pairs of similarity LEAST or more. Null, empty and blank texts are copies of each other, and so are texts of the same words.
     A row is known by a hash of its id and text, not by its place in the input, so it does not matter how a later job splits the files; of rows that
-    share both, one stays. Texts are shuffled for the last semi-join only, and those to be verified as sets.
+    share both, one stays. An empty table gives an empty result, and columns of any name come through. Texts are shuffled for the last semi-join only,
+    and those to be verified as sets.
     """
+    shape = shape or Shape.of(docs.count())
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("k")
     texts = docs.select(key, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"k long, id {texts.schema['id'].dataType.simpleString()}, s long, f0 long, f1 long"
-    prints = materialize(texts.mapInArrow(_prints(words_per_shingle), schema), "prints")
-    nodes = materialize(prints.groupBy("s").agg(*(F.min(c).alias(c) for c in ("k", "f0", "f1"))), "nodes")
-    roots = connected_components(links(texts, nodes, words_per_shingle))
+    schema = f"k long, id {texts.schema['id'].dataType.simpleString()}, s long, f binary"
+    prints = materialize(texts.mapInArrow(_prints(words_per_shingle, shape), schema), "prints")
+    nodes = materialize(prints.groupBy("s").agg(F.min("k").alias("k"), F.first("f").alias("f")), "nodes")
+    roots = classes(texts, nodes, shape, words_per_shingle)
     rooted = prints.join(roots.withColumnRenamed("node", "s"), "s", "left").select("k", "id", F.coalesce("component", "s").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("m"))
-    keyed = docs.select("*", key.alias("__k"))
+    keyed = docs.withColumn("__k", key)
     kept = keyed.join(best.select(F.col("m.k").alias("__k")), "__k", "left_semi").dropDuplicates(["__k"])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

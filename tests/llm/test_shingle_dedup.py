@@ -3,11 +3,14 @@
 import os
 import random
 import sys
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(__file__))
 from helpers import documents  # noqa: E402
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pytest  # noqa: E402
 
 from hopline.llm import shingle_dedup, simhash  # noqa: E402
 
@@ -54,41 +57,99 @@ def test_recall_by_band_and_no_false_pairs(spark):
     assert all(sum(f) / len(f) >= 0.85 for f in found.values()), found
 
 
-def test_blocks_give_the_same_classes(spark, monkeypatch):
+def test_wider_segments_for_more_texts(spark):
+    assert [shingle_dedup.Shape.of(n) for n in (0, 1 << 20, 1 << 21, 1 << 25)] == [shingle_dedup.Shape(*x) for x in ((8, 16), (8, 16), (14, 20), (24, 24))]
+    pairs = near_pairs(20)
+    docs = documents(spark, [(2 * i + k, t, "en", "a") for i, (_, *ab) in enumerate(pairs) for k, t in enumerate(ab)])
+    kept = {r["doc_id"] for r in shingle_dedup.keep_one_of_each(docs, shape=shingle_dedup.Shape(14, 20)).select("doc_id").collect()}
+    near = [i for i, (low, *_) in enumerate(pairs) if low > 0.5]
+    assert sum(2 * i + 1 not in kept for i in near) >= 0.9 * len(near) and all(2 * i + 1 in kept for i in range(len(pairs)) if i not in near)
+
+
+def dense_texts(n=150):
     rnd = random.Random(8)
-    docs, base = [], [f"w{rnd.randrange(3000)}" for _ in range(200)]
-    for i in range(150):
+    base = [f"w{rnd.randrange(3000)}" for _ in range(200)]
+    out = []
+    for _ in range(n):
         words = list(base)
         for _ in range(rnd.randrange(6)):
             words[rnd.randrange(200)] = f"e{rnd.randrange(9)}"
-        docs.append((i, " ".join(words), "en", "a"))
-    whole = sorted(r["doc_id"] for r in simhash.keep_one_of_each(documents(spark, docs)).collect())
-    nodes = [(int(np.uint64(s).view(np.int64)), *shingle_dedup.fingerprint(h).view(np.int64).tolist()) for s, h in (shingle_dedup.grams(t) for t in {t for _, t, *_ in docs})]
-    index = list(shingle_dedup._index(iter([_batch(nodes, "s f0 f1")])))
-    rows = sorted((r["key"], r["flip"], r["f0"], r["f1"], r["s"]) for b in index for r in b.to_pylist())
-    monkeypatch.setattr(shingle_dedup, "BLOCK", 16)
+        out.append(" ".join(words))
+    return out
+
+
+def joined(nodes, links):
+    """node -> the least node of its class."""
+    label = {n: n for n in nodes}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def true_classes(texts):
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return len(set(joined(range(len(texts)), links).values()))
+
+
+def classes_of_all_that_meet(index, sets, fps, shape):
+    groups = {}
+    for r in index.to_pylist():
+        groups.setdefault(r["key"], []).append((r["s"], r["flip"]))
+    met = {(a, b) for g in groups.values() for a, x in g for b, y in g if a < b and not (x and y)}
+    bits = lambda a, b: int(np.bitwise_count(fps[a] ^ fps[b]).sum())
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    return joined(sets, [p for p in met if bits(*p) <= shape.bound and alike(*p)])
+
+
+@pytest.mark.parametrize("block,nearest", [(2048, 64), (16, 64), (2048, 1), (16, 1), (3, 2)])
+def test_dense_groups_are_whole(spark, monkeypatch, block, nearest):
+    """Whatever is compared first, no link of a group is lost: the classes are those of all pairs that meet."""
+    texts = dense_texts()
+    nodes = sorted({int(np.uint64(s).view(np.int64)): h for s, h in map(shingle_dedup.grams, texts)}.items())
+    shape = shingle_dedup.Shape(8, 16)
+    fps = np.array([shingle_dedup.fingerprint(h, shape) for _, h in nodes])
+    batch = pa.RecordBatch.from_arrays([pa.array([s for s, _ in nodes]), shingle_dedup._binary(fps)], ["s", "f"])
+    index = pa.Table.from_batches(list(shingle_dedup._indexed(shape)(iter([batch])))).sort_by([("key", "ascending"), ("flip", "ascending")])
+    monkeypatch.setattr(shingle_dedup, "BLOCK", block)
+    monkeypatch.setattr(shingle_dedup, "NEAREST", nearest)
     for size in (7, 50, 10_000):  # batches that cut groups anywhere
-        out = [r for b in shingle_dedup._scan(_batch(rows[i : i + size], "key flip f0 f1 s", np.int32, np.int8) for i in range(0, len(rows), size)) for r in b.to_pylist()]
-        gone = [(r["key"], r["flip"], r["f0"], r["f1"], r["s"]) for r in out if r["kind"] == 1]
-        assert len(gone) == len(set(gone))
-        sizes = {}
-        for r in rows:
-            sizes[r[0]] = sizes.get(r[0], 0) + 1
-        assert {r[0] for r in gone} >= {k for k, n in sizes.items() if n > 16}
-        assert all(sum(r[0] == k for r in gone) == sizes[k] for k in {r[0] for r in gone})
-    label = list(range(150))
-    sets = [shingles(t) for _, t, *_ in docs]
-    for i in range(150):
-        for j in range(i):
-            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                label = [label[j] if x == label[i] else x for x in label]
-    classes = len(set(label))
-    print(classes, len(whole))
-    assert classes <= len(whole) <= classes + 3
-
-
-def _batch(rows, names, *kinds):
-    import pyarrow as pa
-
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.array(c, kinds[i] if i < len(kinds) else np.int64)) for i, c in enumerate(cols)], names.split())
+        met = pa.Table.from_batches(list(shingle_dedup._scanned(shape)(iter(index.to_batches(max_chunksize=size))))).to_pylist()
+        gone = [(r["key"], r["flip"], r["s"]) for r in met if r["kind"] == 1]
+        sizes = Counter(index.column("key").to_pylist())
+        assert len(gone) == len(set(gone)) and {k for k, *_ in gone} >= {k for k, n in sizes.items() if n > block}
+        assert all(n == sizes[k] for k, n in Counter(k for k, *_ in gone).items())
+    pairs = pa.Table.from_batches(list(shingle_dedup._scanned(shape)(iter(index.to_batches()))))
+    # the whole rounds, with these bounds in the workers too
+    sets, links, most, left = dict(nodes), [], nearest, [r for r in pairs.to_pylist() if r["kind"] == 1]
+    found = [(r["a"], r["b"]) for r in pairs.to_pylist() if r["kind"] == 0]
+    while True:
+        links += [(a, b) for a, b in found if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        root = joined(sets, links)
+        if not left:
+            break
+        most *= 16
+        classes = spark.createDataFrame(list(root.items()), "node long, component long")
+        frame = spark.createDataFrame([tuple(r[c] for c in ("key", "flip", "f", "s", "block")) for r in left], "key long, flip byte, f binary, s long, block int")
+        more, keys = shingle_dedup.more_candidates(frame, classes, shape, most)
+        found, keys = [(r["a"], r["b"]) for r in more.collect()], {r["key"] for r in keys.collect()}
+        left = [r for r in left if r["key"] in keys]
+    assert root == classes_of_all_that_meet(index, sets, dict(zip(sets, fps)), shape)
+
+
+def test_rounds_through_spark(spark):
+    """300 texts around one base and as many around another that has half of its words."""
+    texts = dense_texts(300) + [t.replace("w1", "v1").replace("w2", "v2") for t in dense_texts(300)]
+    kept = shingle_dedup.keep_one_of_each(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
+    least = true_classes(sorted(set(texts)))
+    assert least <= kept.count() <= least + 3
+    assert shingle_dedup.keep_one_of_each(documents(spark, [])).count() == 0
+    clash = documents(spark, [(1, "a b c d e f", "en", "a"), (2, "A b c d e f", "en", "a")]).selectExpr("*", "1 AS k", "2 AS s", "3 AS f", "4 AS root")
+    assert [(r["doc_id"], r["k"], r["root"]) for r in shingle_dedup.keep_one_of_each(clash).collect()] == [(1, 1, 4)]
