@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local["):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="hopline-")
         atexit.register(shutil.rmtree, root, True)
@@ -52,13 +52,13 @@ def ship(spark: SparkSession) -> None:
     sc._hopline_shipped = True
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by`` if given, and read it back.
 
     Cuts the lineage in a way that survives lost executors, and lets several consumers read one result.
     """
     path = f"{shared_dir(df.sparkSession)}/hopline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._hopline_path = path
     return out
