@@ -70,13 +70,13 @@ def test_surrogates_are_distinct_and_new(spark, monkeypatch):
     import hopline.llm.pii as module
 
     norms = [f"{i:03d}" for i in range(0, 900, 3)]
-    df = spark.createDataFrame([("ssn", n) for n in norms], "kind string, norm string")
+    df = spark.createDataFrame([("ssn", n, 0) for n in norms], "kind string, norm string, above int")
 
-    def small(key, kind, norm, attempt):
+    def small(key, kind, norm, attempt, above=0):
         return f"{module._Stream(key, kind, norm, attempt).below(1000):03d}"
 
     monkeypatch.setattr(module, "surrogate", small)
-    later = {r["norm"]: r["attempt"] for r in rows(module.settle(df, KEY, 200))}
+    later = {r["norm"]: r["attempt"] for r in rows(module.settle(df, KEY))}
     final = [small(KEY, "ssn", n, later.get(n, 0)) for n in norms]
     assert len(set(final)) == len(norms) and not set(final) & set(norms) and later
 
