@@ -8,6 +8,8 @@ against the bounds of the document and then against the words themselves.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,10 +18,13 @@ from hopline.llm.common import ascii_lower
 from hopline.session import materialize
 
 WINDOW, SHINGLE = 13, 3
-#: Bits of the table that keeps places without a benchmark shingle out of the join: 128 kB whatever the benchmark's size.
-FILTER_BITS = 1 << 20
+#: Bits of the table that keeps places without a benchmark shingle out of the join: so many a shingle, in two hashes (four places of a thousand pass by
+#: chance), within these bounds (16 MB; above four million distinct shingles more pass, and are dropped by the join).
+BITS_PER_SHINGLE, MIN_BITS, MAX_BITS = 32, 1 << 16, 1 << 27
 #: Windows of the benchmark up to which their prefixes are broadcast (some 150 bytes each, 15 MB); beyond, places and prefixes are shuffled.
 BROADCAST_WINDOWS = 100_000
+#: A shingle that stands in more than a HOT-th of all places is dealt over so many tasks as it has such shares.
+HOT = 1_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -50,32 +55,39 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return w.select("window", "len", "off", h.alias("h"), "k")
 
 
-def _bit_table(shingles: DataFrame) -> DataFrame:
-    """One row: the filter as an array of FILTER_BITS / 64 longs."""
-    slot = F.pmod("h", F.lit(FILTER_BITS))
-    words = shingles.select(slot.alias("slot")).distinct().groupBy(F.shiftright("slot", 6).cast("int").alias("i"))
+def _slots(h: Column, bits: int) -> list[Column]:
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.xxhash64(h), F.lit(bits))]
+
+
+def _bit_table(shingles: DataFrame, bits: int) -> DataFrame:
+    """One row: the filter as an array of ``bits`` / 64 longs."""
+    slots = shingles.select(F.explode(F.array(*_slots(F.col("h"), bits))).alias("slot")).distinct()
+    words = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("i"))
     words = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits"))
-    full = shingles.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("i")).join(words, "i", "left")
+    full = shingles.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("i")).join(words, "i", "left")
     pairs = F.array_sort(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
     return full.agg(F.transform(pairs, lambda p: p["bits"]).alias("table"))
 
 
+def filter_bits(n_shingles: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_SHINGLE * max(1, n_shingles) - 1).bit_length()))
+
+
 def places(docs: DataFrame, shingles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tie, n_words, hits): one row for each row of ``docs``, with the places where a shingle of ``shingles`` may stand.
+    """(doc_id, tie, n_words, hits): one row for each row of ``docs``, with the places where a shingle of ``shingles`` (h, k) may stand.
 
     A hit is (h, at, from, near): the words around place ``at`` that a window with this shingle can reach, beginning with word ``from``.
     """
     kinds = sorted(r["k"] for r in shingles.select("k").distinct().collect())  # at most SHINGLE numbers
+    bits = filter_bits(shingles.select("h").distinct().count())
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), words_of(text).alias("w"))
-    d = d.withColumn("table", _bit_table(shingles).scalar())  # a scalar subquery: one value of fixed size
+    d = d.withColumn("table", _bit_table(shingles, bits).scalar())  # a scalar subquery: one value of bounded size
 
     def kept(k: int) -> Column:
         hashed = F.transform("w", lambda w, i: F.struct(_shingle("w", i, k).alias("h"), i.alias("at")))
-        inside = lambda x: F.getbit(
-            F.element_at("table", F.shiftright(F.pmod(x["h"], F.lit(FILTER_BITS)), 6).cast("int") + 1), F.pmod(x["h"], F.lit(64)).cast("int")
-        ) == 1
-        return F.filter(hashed, inside)
+        bit = lambda slot: F.getbit(F.element_at("table", F.shiftright(slot, 6).cast("int") + 1), F.pmod(slot, F.lit(64)).cast("int")) == 1
+        return F.filter(hashed, lambda x: reduce(Column.__and__, map(bit, _slots(x["h"], bits))))
 
     hits = F.concat(*(kept(k) for k in kinds)) if kinds else F.expr("CAST(array() AS array<struct<h: bigint, at: int>>)")
     low = lambda x: F.greatest(x["at"] - (WINDOW - 1), F.lit(0))
@@ -85,6 +97,18 @@ def places(docs: DataFrame, shingles: DataFrame, id_col: str = "doc_id", text_co
     return d.select("doc_id", "tie", F.size("w").cast("long").alias("n_words"), near.alias("hits"))
 
 
+def _met(hits: DataFrame, prefix: DataFrame, held: DataFrame, few: bool) -> DataFrame:
+    """``hits`` with the windows (window, len, h, off) of their shingle; a hot shingle is dealt over several tasks where neither side is broadcast."""
+    if few:
+        return hits.join(F.broadcast(prefix), "h")
+    shares = F.ceil(F.col("c") * HOT / held.agg(F.sum("c")).scalar()).cast("int")
+    hot = held.select("h", shares.alias("shares")).where("shares > 1")  # less than HOT rows
+    dealt = lambda df: df.join(F.broadcast(hot), "h", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    one = dealt(hits).withColumn("share", F.pmod(F.xxhash64("doc_id", "tie", "at"), F.col("shares")).cast("int")).drop("shares")
+    two = dealt(prefix).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return one.join(two, ["h", "share"]).drop("share")
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -94,7 +118,7 @@ def contamination(
     hash of the text, which tells rows that share an id apart; repeated rows get each the same result. Null texts and items have no words; with no items,
     nothing is hit. A null item id counts as an item but is left out of ``items_sha256``. Other columns are ignored.
 
-    Texts are read once and never shuffled. With a small benchmark only matches are; with a large one, the places that its shingles can stand at, with
+    Very long texts are read whole; a window that ties with others for its rarest shingle takes the least. Texts are read once and never shuffled. With a small benchmark only matches are; with a large one, the places that its shingles can stand at, with
     25 words around each.
     """
     windows = materialize(windows_of(items, item_id_col, item_text_col), "windows")
@@ -107,8 +131,7 @@ def contamination(
     prefix = ranked.groupBy("window", "len").agg(F.min(F.struct("c", "h", "off")).alias("p")).select("window", "len", "p.h", "p.off")
     start = F.col("at") - F.col("off")
     at = start - F.col("from")
-    hint = F.broadcast if windows.count() <= BROADCAST_WINDOWS else (lambda x: x)
-    candidates = hits.join(hint(prefix), "h").where((start >= 0) & (at >= 0) & (at + F.col("len") <= F.size("near")))
+    candidates = _met(hits, prefix, held, windows.count() <= BROADCAST_WINDOWS).where((start >= 0) & (at >= 0) & (at + F.col("len") <= F.size("near")))
     verified = candidates.where(F.array_join(F.slice("near", at + 1, F.col("len")), " ") == F.col("window"))
     matches = materialize(verified.select("doc_id", "tie", start.alias("start"), "len", "window").distinct(), "matches")
     # words covered by the matches of a document, which are no more than it has words, times the lengths of windows
@@ -130,7 +153,12 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("tie").alias("__t")).distinct()
-    mine = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (mine == F.col("__t")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, whole; ``contamination`` says how nulls, ties, repeated rows, long texts and empty tables count.
+
+    Columns of any name come through. Of rows that share an id each is judged by its own text. The join is against the few contaminated rows.
+    """
+    judged = contamination(docs, items, id_col, text_col).where("contaminated")
+    bad = judged.select(F.struct(F.col("doc_id").alias("d"), F.col("tie").alias("t")).alias("__bad")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns))).alias("__r"), F.col(id_col).cast("long").alias("__i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__h"))
+    kept = whole.join(bad, F.col("__i").eqNullSafe(F.col("__bad.d")) & (F.col("__h") == F.col("__bad.t")), "left_anti")
+    return kept.select(*(F.col(f"__r.k{i}").alias(c) for i, c in enumerate(docs.columns)))

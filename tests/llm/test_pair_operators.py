@@ -247,14 +247,20 @@ def test_contamination(spark, monkeypatch):
             words = items[rnd.choice([3, 4, 5, 6, 7, 8, 9, 10])][1].upper().replace("ÉÉ", "ÉÉ").split()
             parts += [" ".join(words[rnd.randrange(3) : len(words) - rnd.randrange(3)]), some(rnd.randint(0, 200))]
         docs.append((i, " ".join(parts), "en", "a"))
-    docs += [docs[10], docs[10], (11, "another text of id 11", "en", "a"), (None, docs[12][1], "en", "a")]
+    docs += [docs[10], docs[10], (11, "another text of id 11", "en", "a"), (None, docs[12][1], "en", "a"), (200, "w2 of " * 20_000 + items[9][1] + " of" * 20_000, "en", "a")]
     df = documents(spark, docs).selectExpr("*", "1 AS w", "2 AS hits", "3 AS item_id", "4 AS tie")
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'c' AS window", "'d' AS doc_id")
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(decontaminate.contamination(df, bench)))
     assert got == brute_contamination(docs, items)
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", -1)
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 1 << 16)
     joined = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(decontaminate.contamination(df, bench)))
     assert joined == got
+    monkeypatch.setattr(decontaminate, "MIN_BITS", 64)
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 64)  # a table that is full changes nothing
+    assert got == sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(decontaminate.contamination(df, bench)))
+    assert [decontaminate.filter_bits(n) for n in (0, 10**6)] == [64, 64]
+    df = df.selectExpr("*", "5 AS __d", "6 AS __t", "7 AS __i")
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and kept.count() == sum(not x[-1] for x in got)
     assert all(not r["contaminated"] for r in rows(decontaminate.contamination(df, bench.where("false"))))
