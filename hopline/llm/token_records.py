@@ -39,8 +39,10 @@ MASK_DELTA = 0xA282EAD8  # fixed value of the masked checksum
 BATCH_BYTES = 8 << 20
 #: Entries of a worker's cache.
 CACHE = 1 << 17
-#: Rows of an Arrow batch: some 10 MB of text in the JVM and again in the worker.
-BATCH_ROWS = 3_000
+#: Rows that a worker encodes at a time.
+SLICE = 2_000
+#: Bytes of text in a file: as many as FILE_BYTES where the corpus is large, and down to LEAST_BYTES where that gives all cores some.
+FILE_BYTES, LEAST_BYTES = 64 << 20, 8 << 20
 
 _workers: dict[tuple[str, str], "Encoder"] = {}
 
@@ -113,17 +115,18 @@ def _framer(path: str, dtype: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = Encoder.get(path, dtype), 0
-        for batch in batches:
-            out, size = [], 0
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), enc.batch(batch.column("text")), strict=True):
-                ids = found + end
-                out.append(frame(struct.pack("<qQ", NULL_ID if doc_id is None else doc_id, before) + ids))
-                before += len(ids) // width
-                size += len(out[-1])
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch, out, size = whole.slice(at, SLICE), [], 0
+                for doc_id, found in zip(batch.column("doc_id").to_pylist(), enc.batch(batch.column("text")), strict=True):
+                    ids = found + end
+                    out.append(frame(struct.pack("<qQ", NULL_ID if doc_id is None else doc_id, before) + ids))
+                    before += len(ids) // width
+                    size += len(out[-1])
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        out, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
         give_back()
 
     return run
@@ -135,22 +138,20 @@ def write_records(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
     ``order`` names columns to sort by in place of the id: ``("_metadata.file_path", "_metadata.row_index")`` for the order in which files were written.
 
     A null text has the end id alone; null ids come first; rows that share an id keep a record each, ordered by a hash of the text. An empty table gives
-    a folder without records; other columns are ignored. Texts are shuffled once, to be range-sorted by (id, hash of the text), so rows that share an
-    id do not pile up in one task; each task encodes what it has and appends to its file, whose name orders it among the others.
+    a folder without records; other columns are ignored. Texts are shuffled once, to be range-sorted by (id, hash of the text, and among equal rows their
+    place in the scan, so that copies do not pile up in one task); each task encodes what it has and appends to its file, whose name orders it among the
+    others. The number of files follows from the bytes of all texts. Bytes go through Spark's text writer as a string column that is never decoded.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    files = max(1, -(-total // FILE_BYTES), min(4 * spark.sparkContext.defaultParallelism, -(-total // LEAST_BYTES)))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order or ())))
-    by = [f"__o{i}" for i in range(len(order))] if order else ["doc_id", "tie"]
-    ranged = slim.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
+    by = [f"__o{i}" for i in range(len(order))] if order else ["doc_id", "tie", "place"]
+    ranged = slim.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(files, *by).sortWithinPartitions(*by).select("doc_id", "text")
     framed = ranged.mapInArrow(_framer(path, id_dtype(path), end_id), "record binary")
     data = f"{out}/records"
-    conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(rows)
-    conf.set(rows, str(BATCH_ROWS))  # read when the job starts, which it does below
-    try:
-        framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(data)
-    finally:
-        conf.set(rows, before)
+    framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(data)
     return data
 
 
