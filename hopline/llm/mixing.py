@@ -6,6 +6,8 @@ are put into one global order by that time and cut where the total budget is rea
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from hopline.llm.common import with_row_key
 from hopline.session import materialize
 
-#: Documents that one task orders at a time, on average.
-ROWS_PER_BLOCK = 20_000
+#: Documents of a block that one task orders at a time, on average, and blocks of a source at least (fewer for a small corpus).
+ROWS_PER_BLOCK, LEAST_BLOCKS = 20_000, 64
 #: Sources up to which their table is broadcast (about 100 bytes each); beyond, it is joined.
 BROADCAST_SOURCES = 50_000
 
@@ -30,6 +32,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     ``max_repeats`` times the size, and what is cut off is shared again by weight. That fixed point is a water level L with
     target = min(cap, L * weight): in order of cap / weight the sources below the level are full, so L comes from two running sums.
     """
+    if not all(w > 0 for w in weights):
+        raise ValueError("weights must be above zero")
     order = W.orderBy(F.col("source").isNull(), F.col("source"))
     weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     s = sizes.select("source", "source_size", weight.alias("weight"), (F.lit(float(max_repeats)) * F.col("source_size")).alias("cap"))
@@ -59,8 +63,8 @@ def queue(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, order): one row (__row, doc_id, size, source_size, target) for each document, and the copies taken in mixing order (__row, copy, finish).
 
-    A null source is a source of its own; null or empty texts have size 0 and are never taken; repeated ids are separate rows. ``__row`` numbers the
-    rows and is stable, as they are written; ``row_key`` names a column of ``docs`` that the rows carry along, by which to find them again. An empty table gives two empty results.
+    A null source is a source of its own; null or empty texts have size 0 and are never taken; repeated ids are separate rows. Weights must be above zero.
+    ``__row`` numbers the rows and is stable, as they are written; ``row_key`` names a column of ``docs`` that the rows carry along, by which to find them again. An empty table gives two empty results.
     """
     slim = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
     rows = with_row_key(docs.select(*slim, *([row_key] if row_key else [])))
@@ -71,7 +75,7 @@ def queue(
     sources = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeats), "targets")
     hint = F.broadcast if sources.count() <= BROADCAST_SOURCES else (lambda x: x)
     # running sums within a source, in two levels: over blocks of the hash order, then within a block, so that no task holds a whole source
-    bits = min(28, max(0, (n // ROWS_PER_BLOCK).bit_length()))
+    bits = min(28, max((n // ROWS_PER_BLOCK).bit_length(), min(LEAST_BLOCKS, math.isqrt(n)).bit_length()))
     block = F.shiftright(F.conv(F.substring("rnd", 1, 7), 16, 10).cast("long"), 28 - bits)
     rows_b = rows.withColumn("block", block)
     sums = rows_b.groupBy("source", "block").agg(F.sum("size").alias("s"))
@@ -109,13 +113,19 @@ def queue(
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: whole rows of ``docs``, a row as often as it is taken, range-sorted by virtual finish time.
 
+    Null, empty and blank texts have no words and are never taken; a null source is a source of its own; an empty table gives an empty result; columns of
+    any name come through; very long texts count whole. Copies with one finish time are ordered by id, row and copy.
     Rows are known by 128 bits of a hash of all their columns, which does not depend on how a job splits the files. Equal rows are interchangeable: one of
     them stands for all, and is taken as often as they are together.
     """
     cols = [F.col(f"`{c}`") for c in docs.columns]
     nulls = F.concat(*(c.isNull().cast("string") for c in cols))  # a null does not change a hash
-    keyed = docs.select("*", F.struct(F.xxhash64(nulls, *cols).alias("a"), F.xxhash64(F.lit(1), nulls, *cols).alias("b")).alias("__key"))
-    placed, taken = queue(keyed, row_key="__key", **params)
+    named = [f"k{i}" for i in range(len(docs.columns))]
+    key = F.struct(F.xxhash64(nulls, *cols).alias("a"), F.xxhash64(F.lit(1), nulls, *cols).alias("b")).alias("__key")
+    roles = {p: docs.columns.index(params.pop(p, default)) for p, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    keyed = docs.select(*(c.alias(k) for c, k in zip(cols, named)), key)
+    cols = [F.col(k) for k in named]
+    placed, taken = queue(keyed, row_key="__key", **{p: named[i] for p, i in roles.items()}, **params)
     order = taken.join(placed.select("__row", "__key"), "__row").select(
         F.col("__key").alias("__k"), F.struct(F.col("finish").alias("__finish"), F.col("__row").alias("__r"), F.col("copy").alias("__copy")).alias("__at")
     )
@@ -126,4 +136,4 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     again = one.join(order.where("__many"), F.col("__key") == F.col("__k")).select(*cols, "__at.*")
     joined = once.unionByName(again)
     spread = joined.repartitionByRange("__finish", "__r", "__copy").sortWithinPartitions("__finish", "__r", "__copy")
-    return spread.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return spread.select(*(F.col(k).alias(c) for k, c in zip(named, docs.columns)))

@@ -150,14 +150,30 @@ def test_mixing_targets_and_takes(spark, docs):
 
 
 def test_mix_gives_whole_rows_in_order_and_again_the_same(spark, docs):
-    df = documents(spark, docs + [(5, "again twice", "en", None), (5, "again twice", "en", None), (None, "no id", None, None)])
-    one, two = mixing.mix(df), mixing.mix(df)
-    assert one.columns == df.columns
-    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    all_docs = docs + [(5, "again twice", "en", None), (5, "again twice", "en", None), (None, "no id", None, None), (900, "word " * 50_000, "en", "a")]
+    df = documents(spark, all_docs).selectExpr("*", "1 AS __row", "2 AS __r", "3 AS __copy", "4 AS __finish", "5 AS __key")
+    one, two = mixing.mix(df).collect(), mixing.mix(df).collect()
+    assert mixing.mix(df).columns == df.columns
+    assert one == two  # in the same order
+    placed, taken = mixing.queue(documents(spark, all_docs))
+    finish = [(r["doc_id"], r["finish"]) for r in taken.join(placed.select("__row", "doc_id"), "__row").orderBy("finish").collect()]
+    assert len(finish) == len(one)
+    at = {}
+    for d, f in finish:
+        at.setdefault(d, []).append(f)
+    times = [at[r["doc_id"]] for r in one if len(at[r["doc_id"]]) == 1]
+    assert times == sorted(times) and len(times) > 20
     assert mixing.mix(documents(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(df, weights=(1.0, 0.0))
 
 
-def test_exact_dedup(spark, docs):
+@pytest.mark.parametrize("bits,hot", [(1 << 26, 10_000), (256, 10_000), (256, 5), (1 << 26, 5)])
+def test_exact_dedup(spark, docs, monkeypatch, bits, hot):
+    """In one table or in many, and with digests that count as hot or not."""
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", bits)
+    monkeypatch.setattr(exact_dedup, "MIN_BITS", 64)
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
     all_docs = docs + [(None, "one", "en", "a"), (4, "ONE", "en", "a"), (4, "ONE", "en", "a"), (70_000, "É", "en", "a"), (70_001, "é", "en", "a")] + [(80_000 + i, "hot", "en", "a") for i in range(300)]
     got = rows(exact_dedup.exact_duplicates(documents(spark, all_docs)))
     groups = {}
@@ -172,7 +188,8 @@ def test_exact_dedup(spark, docs):
 
 def test_bloom_passes_lone_rows_straight_through(spark):
     digests = spark.range(20_000).selectExpr("id", "id AS __row", "unhex(sha2(cast(id % 19000 AS string), 256)) AS digest")
-    maybe, alone = exact_dedup.split_by_bloom(digests, 20_000)
+    assert [exact_dedup.parts_of(n) for n in (0, 20_000, 10**7, 10**10)] == [(1, 1 << 16), (1, 1 << 19), (4, 1 << 26), (4096, 1 << 26)]
+    maybe, alone = exact_dedup.split_by_bloom(digests, exact_dedup.parts_of(20_000)[1])
     assert maybe.count() + alone.count() == 20_000
     assert maybe.count() < 2_000 + 1_500 and alone.where("id < 1000 OR id >= 19000").count() == 0
 
