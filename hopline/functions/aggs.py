@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hopline.session import materialize
+
 
 def heavy(df: DataFrame, by: list[str], value: str, out: str = "value") -> DataFrame:
     """The most frequent value of each group; the least of those that tie."""
@@ -46,19 +50,37 @@ def weighted_curve(df: DataFrame, by: list[str], value: str, weight: str, points
     return w.select(*by, F.explode(F.sequence("__a", "__b")).alias("__p"), value).select(*by, (F.col("__p") / points).alias("p"), value)
 
 
+def running_totals(df: DataFrame, by: list[str], order: list[str], of: Column) -> DataFrame:
+    """``df`` with __upto, __first and __all: of its group, the sum of ``of`` up to its place in the order (ties included), up to the first place, and whole.
+
+    No task has a whole group: rows are cut into ranges of the order, summed inside each, and the ranges' sums, a row each, are added on top.
+    """
+    keyed = df.withColumn("__o", F.struct(*order)).withColumn("__v", of)
+    sums = keyed.groupBy(*by, "__o").agg(F.sum("__v").alias("__s"))
+    ranged = materialize(sums.repartitionByRange(*by, "__o").withColumn("__range", F.spark_partition_id()), "ranges")
+    inside = W.partitionBy("__range", *by).orderBy("__o").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranges = ranged.groupBy("__range", *by).agg(F.sum("__s").alias("__t"), F.min_by("__s", "__o").alias("__f"))
+    whole = W.partitionBy(*by)
+    earlier = F.coalesce(F.sum("__t").over(whole.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("__range", *by, earlier.alias("__before"), F.min_by("__f", "__range").over(whole).alias("__first"), F.sum("__t").over(whole).alias("__all"))
+    same = lambda a, b, cols: reduce(Column.__and__, (F.col(f"{a}.`{c}`").eqNullSafe(F.col(f"{b}.`{c}`")) for c in cols))
+    placed = ranged.withColumn("__in", F.sum("__s").over(inside)).alias("a").join(ranges.alias("b"), same("a", "b", ["__range", *by]))
+    placed = placed.select(*(f"a.`{c}`" for c in by), "__o", (F.col("__before") + F.col("__in")).alias("__upto"), "__first", "__all")
+    out = keyed.drop("__v").alias("a").join(placed.alias("b"), same("a", "b", [*by, "__o"]))
+    return out.select("a.*", "__upto", "__first", "__all").drop("__o")
+
+
 def cumulative_share(df: DataFrame, by: list[str], order: list[str], value: str, out: str = "share") -> DataFrame:
-    """Running sum of ``value`` in the given order over its total."""
-    run = F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return df.withColumn(out, F.try_divide(run, F.sum(value).over(W.partitionBy(*by))))
+    """Running sum of ``value`` in the given order over its total; rows that tie share the sum up to the last of them."""
+    runs = running_totals(df, by, order, F.col(value))
+    return runs.withColumn(out, F.try_divide("__upto", "__all")).drop("__upto", "__first", "__all")
 
 
 def rescaled_ecdf(df: DataFrame, by: list[str], value: str, out: str = "quantile", jiggle: list[str] | None = None) -> DataFrame:
     """The empirical distribution at each value, stretched to 0..1; with ``jiggle`` columns, ties are told apart by them."""
-    w = W.partitionBy(*by)
-    q = F.row_number().over(w.orderBy(value, *jiggle)) / F.count(F.lit(1)).over(w) if jiggle else F.cume_dist().over(w.orderBy(value))
-    d = df.withColumn("__q", q)
-    low, high = F.min("__q").over(w), F.max("__q").over(w)
-    return d.withColumn(out, F.when(high > low, (F.col("__q") - low) / (high - low)).otherwise(F.lit(1.0))).drop("__q")
+    runs = running_totals(df, by, [value, *(jiggle or [])], F.lit(1))
+    share = (F.col("__upto") - F.col("__first")) / (F.col("__all") - F.col("__first"))
+    return runs.withColumn(out, F.when(F.col("__all") > F.col("__first"), share).otherwise(F.lit(1.0))).drop("__upto", "__first", "__all")
 
 
 def normalised(df: DataFrame, by: list[str], value: str, how: str = "max", out: str = "share") -> DataFrame:

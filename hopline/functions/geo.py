@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS_M = 6_371_008.8
@@ -119,6 +119,12 @@ def ring_deltas(spark, most: int):
     return both.select(k.alias("k"), (F.col("q") * (1 << 29) + F.col("r")).alias("delta")).where(F.col("k") <= most)
 
 
+def with_rings(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with k and delta of each cell within ``most`` steps: a constant array, exploded."""
+    rings = ring_deltas(df.sparkSession, most).agg(F.collect_list(F.struct("k", "delta")).alias("r"))
+    return df.withColumn("__r", F.explode(rings.scalar())).select("*", "__r.k", "__r.delta").drop("__r")
+
+
 def hex_distance(a: Column, b: Column) -> Column:
     """Grid steps between two cells of one resolution."""
     dq, dr = hex_q(a) - hex_q(b), hex_r(a) - hex_r(b)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopline.functions.aggs import weighted_median
-from hopline.functions.geo import edge_m, hex_cell, hex_center, hex_parent, hex_parent_at, ring_deltas
+from hopline.functions.geo import edge_m, hex_cell, hex_center, hex_parent, hex_parent_at, with_rings
 
 
 def trip_velocity(edges: DataFrame, extra_min: int = 5) -> DataFrame:
@@ -41,8 +41,7 @@ def pop_within_60(edges: DataFrame, res: int = 10, max_ring: int = 30, walk: flo
     s = stop_rates(edges, awake_hours).withColumn("cell", hex_cell(F.col("stop_lat"), F.col("stop_lon"), res))
     reach = F.greatest(F.lit(0.0), (F.lit(55.0) - F.col("wait")) * F.col("ppm"))
     best = s.groupBy("cell").agg(F.max(F.struct(reach.alias("reach"), F.col("ppm"), (-F.col("wait")).alias("w"))).alias("b"))
-    rings = F.broadcast(ring_deltas(edges.sparkSession, max_ring))
-    spread = best.join(rings, F.col("k") >= 0).select((F.col("cell") + F.col("delta")).alias("cell"), "k", F.col("b.ppm").alias("ppm"), (-F.col("b.w")).alias("wait"))
+    spread = with_rings(best, max_ring).select((F.col("cell") + F.col("delta")).alias("cell"), "k", F.col("b.ppm").alias("ppm"), (-F.col("b.w")).alias("wait"))
     value = (F.lit(55.0) - walk_minutes(F.col("k"), res, walk) - F.col("wait")) * F.col("ppm")
     out = spread.groupBy("cell").agg(F.max(value).alias("pop_in_60")).where("pop_in_60 > 0")
     lat, lon = hex_center(F.col("cell"))
@@ -62,8 +61,7 @@ def time_to_transport(day: DataFrame, inhabited: DataFrame | None = None, res: i
     """(cell, time_to_transport): least walk and wait from each cell, up to an hour; only cells of ``inhabited`` (cell) if given."""
     calls = day.groupBy("source", "stop_id", "stop_lat", "stop_lon").agg(F.count(F.lit(1)).alias("n"))
     most = calls.groupBy(hex_cell(F.col("stop_lat"), F.col("stop_lon"), res).alias("cell")).agg(F.max("n").alias("n"))
-    rings = F.broadcast(ring_deltas(day.sparkSession, max_ring))
-    spread = most.join(rings, F.col("k") >= 0).select((F.col("cell") + F.col("delta")).alias("cell"), "k", "n")
+    spread = with_rings(most, max_ring).select((F.col("cell") + F.col("delta")).alias("cell"), "k", "n")
     t = F.lit(awake_hours * 60.0) / (F.col("n") * 2) + walk_minutes(F.col("k"), res, walk)
     out = spread.groupBy("cell").agg(F.min(t).alias("time_to_transport")).where("time_to_transport <= 60")
     return out if inhabited is None else out.join(inhabited.select("cell").distinct(), "cell", "left_semi")

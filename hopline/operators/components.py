@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from hopline.session import discard, materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Return (node, component) for each node that has an edge; component is the smallest node id reachable.
 
     Nulls and self loops are ignored (a node with self loops only is not returned). Each round is two aggregations and
     joins over at most as many edges as the first; it is written to the shared folder, so a lost executor costs one
-    round. The driver sees two numbers a round. Around a hub the join is skewed, which AQE splits.
+    round; it ends when a round changes nothing. The driver sees two numbers a round. Around a hub the join is skewed, which AQE splits.
     """
     a, b = F.col(src), F.col(dst)
     now = materialize(
         edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc"
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         after = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if after == before:
             break
@@ -35,7 +35,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         nxt = materialize(small, "cc")
         discard(now)
         now = nxt
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select("component", "component").distinct())

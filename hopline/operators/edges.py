@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopline.functions.geo import hex_cell, hex_disk
+from hopline.functions.geo import hex_cell, hex_disk, hex_distance
 from hopline.functions.timefn import minutes_between
+from hopline.session import materialize
 
 
 def along_trip():
@@ -35,19 +36,22 @@ def not_of(df: DataFrame, countries: tuple[str, ...]) -> DataFrame:
 def edge_list(day: DataFrame, population: DataFrame, stop: str = "stop_id", res: int = 9, k: int = 4, exclude: tuple[str, ...] = ("us", "ca")) -> DataFrame:
     """Hops with next_pop: the people around this stop that are not also around the next one (disks of ``k`` steps).
 
-    ``population`` is (cell, population) at ``res``. The difference of two disks is taken, and its people are added up, once for each distinct pair of
-    cells, not for each hop. Hops whose difference holds nobody are left out.
+    ``population`` is (cell, population) at ``res``. The people of a whole disk are added up once for each distinct cell. Disks more than 2k steps apart do
+    not meet, so the whole disk counts; only for nearer pairs of cells, of which a cell has 1 + 6k(2k + 1) at most, is the difference of the disks taken.
+    Hops whose difference holds nobody are left out. The hops are written once, as three steps read them.
     """
+    names = [x for x in ("route_type",) if x in day.columns]
+    shown = ["source", "trip_id", stop, "stop_sequence", "stop_lat", "stop_lon", "departure_time", "next_stop", "next_arrival", "travel_time", *names]
     h = hops(not_of(day, exclude), stop)
-    h = h.withColumn("c", hex_cell(F.col("stop_lat"), F.col("stop_lon"), res)).withColumn("nc", hex_cell(F.col("next_lat"), F.col("next_lon"), res))
-    pairs = h.select("c", "nc").distinct()
+    h = h.select(*shown, hex_cell(F.col("stop_lat"), F.col("stop_lon"), res).alias("c"), hex_cell(F.col("next_lat"), F.col("next_lon"), res).alias("nc"))
+    h = materialize(h.withColumn("near", hex_distance(F.col("c"), F.col("nc")) <= 2 * k), "hops")
+    people = population.select("cell", "population")
+    around = h.select("c").distinct().withColumn("cell", F.explode(hex_disk(F.col("c"), k))).join(people, "cell").groupBy("c").agg(F.sum("population").alias("next_pop"))
+    pairs = h.where("near").select("c", "nc").distinct()
     gone = pairs.select("c", "nc", F.explode(F.array_except(hex_disk(F.col("c"), k), hex_disk(F.col("nc"), k))).alias("cell"))
-    people = gone.join(population.select("cell", "population"), "cell").groupBy("c", "nc").agg(F.sum("population").alias("next_pop"))
-    out = h.join(people, ["c", "nc"])
-    names = [x for x in ("route_type",) if x in day.columns]
-    return out.select(
-        "source", "trip_id", stop, "stop_sequence", "stop_lat", "stop_lon", "departure_time", "next_stop", "next_arrival", "travel_time", *names, "next_pop", (F.col("next_pop") / F.col("travel_time")).alias("pop_per_minute")
-    )
+    near = gone.join(people, "cell").groupBy("c", "nc").agg(F.sum("population").alias("next_pop"))
+    out = h.where("not near").join(around, "c").select(*shown, "next_pop").unionByName(h.where("near").join(near, ["c", "nc"]).select(*shown, "next_pop"))
+    return out.withColumn("pop_per_minute", F.col("next_pop") / F.col("travel_time"))
 
 
 def edge_list_ext(day: DataFrame, stop: str = "stop_id", res: int = 11) -> DataFrame:

@@ -6,32 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopline.functions.geo import hex_cell, ring_deltas
+from hopline.functions.geo import hex_cell, with_rings
 from hopline.session import discard, materialize
 
 
-def earliest_arrivals(edges: DataFrame, starts: DataFrame, t0: int, cutoff: int, max_rounds: int = 200) -> DataFrame:
+def earliest_arrivals(edges: DataFrame, starts: DataFrame, t0: int, cutoff: int) -> DataFrame:
     """(stop, arrival_time): label correcting in rounds. ``edges``: stop, next_stop, departure_time, next_arrival (s); ``starts``: stop.
 
     A round joins the stops whose arrival improved with the hops that leave them afterwards, and keeps what beats the known arrivals. Hops outside
-    [t0, cutoff] go first. Each round is written to the shared folder. No change time and no walking between stops.
+    [t0, cutoff] go first. Each round is written to the shared folder. No change time and no walking between stops. It ends when no arrival improves,
+    after as many rounds as the longest of the best paths has hops.
     """
     e = materialize(
         edges.select("stop", "next_stop", "departure_time", "next_arrival").where((F.col("departure_time") >= t0) & (F.col("next_arrival") <= cutoff) & (F.col("next_arrival") >= F.col("departure_time"))).distinct(), "hops"
     )
     known = materialize(starts.select("stop").distinct().withColumn("arrival_time", F.lit(t0)), "known")
-    front, round_no = known, 0
-    while round_no < max_rounds:
-        round_no += 1
+    front = known
+    while True:
         reached = front.join(e, "stop").where("departure_time >= arrival_time").groupBy(F.col("next_stop").alias("stop")).agg(F.min("next_arrival").alias("t"))
         better = reached.join(known, "stop", "left").where("arrival_time IS NULL OR t < arrival_time").select("stop", F.col("t").alias("arrival_time"))
         front = materialize(better, "front")
         if front.isEmpty():
+            discard(e)
             return known
         merged = materialize(known.join(front, "stop", "left_anti").unionByName(front), "known")
         discard(known)
         known = merged
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def isochrone_walk(edges: DataFrame, places: DataFrame, starts: DataFrame, t0: int, minutes: int, walk: int = 20, speed: float = 0.6, res: int = 10) -> DataFrame:
@@ -42,8 +42,7 @@ def isochrone_walk(edges: DataFrame, places: DataFrame, starts: DataFrame, t0: i
     found = earliest_arrivals(edges, starts, t0, t0 + minutes * 60).withColumn("travel", F.floor((F.col("arrival_time") - t0) / 60))
     radius = F.floor(F.least(F.lit(minutes) - F.col("travel"), F.lit(walk)) * F.lit(speed)).cast("int")
     at = found.join(places, "stop").select(hex_cell(F.col("stop_lat"), F.col("stop_lon"), res).alias("cell"), "travel", radius.alias("radius"))
-    rings = F.broadcast(ring_deltas(edges.sparkSession, int(walk * speed)))
-    spread = at.join(rings, F.col("k") <= F.col("radius"))
+    spread = with_rings(at, int(walk * speed)).where(F.col("k") <= F.col("radius"))
     return spread.groupBy((F.col("cell") + F.col("delta")).alias("cell")).agg(F.min(F.col("travel") + F.col("k") / F.lit(speed)).alias("value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hopline.functions import aggs
 from hopline.functions.geo import haversine_m, hex_cell
 from hopline.functions.timefn import DAY, minutes_between
+from hopline.session import materialize
 
 # Priority of route types, the first that holds.
 PRIORITY = [
@@ -57,24 +58,51 @@ def trip_spans(stop_times: DataFrame, by: list[str]) -> DataFrame:
 def active_probes(stop_times: DataFrame, by: list[str], step_min: int = 5) -> DataFrame:
     """(by, probe, c): trips under way at each probe of the day, both ends included; zero where there are none.
 
-    A trip that passes midnight counts to the end of its day, and what passes is counted from 00:00 on, as another trip. Each interval is exploded to the
-    probes inside it, so that the counting is one equality aggregation; intervals without a probe are left out before.
+    A trip that passes midnight counts to the end of its day, and what passes is counted from 00:00 on, as another trip. Each interval is one more at its
+    first probe and one less after its last, whatever its length; the counts are running sums over the probes of a day.
     """
+    grid = stop_times.select(*by).distinct().withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAY // (step_min * 60) - 1).cast("long"))))
+    out = grid.join(_changes(_probed(stop_times, by, step_min), by), [*by, "p"], "left")
+    c = F.sum(F.coalesce("d", F.lit(0))).over(W.partitionBy(*by).orderBy("p").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return out.select(*by, (F.col("p") * step_min * 60).cast("int").alias("probe"), c.alias("c"))
+
+
+def _probed(stop_times: DataFrame, by: list[str], step_min: int) -> DataFrame:
+    """(by, a, b): first and last probe of each trip that has one under way, by day."""
     step = step_min * 60
     spans = trip_spans(stop_times, by if "source" in by else [*by, "source"])
     today = spans.where(F.col("first") < DAY).select(*by, F.col("first").alias("a"), F.least("last", F.lit(DAY - 1)).alias("b"))
     night = spans.where(F.col("last") >= DAY).select(*by, F.greatest(F.col("first") - DAY, F.lit(0)).alias("a"), (F.col("last") - DAY).alias("b"))
-    both = today.unionAll(night).withColumn("a", F.ceil(F.col("a") / step)).withColumn("b", F.floor(F.least("b", F.lit(DAY - 1)) / step)).where("a <= b")
-    counts = both.select(*by, F.explode(F.sequence("a", "b")).alias("p")).groupBy(*by, "p").agg(F.count(F.lit(1)).alias("c"))
-    grid = stop_times.select(*by).distinct().withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAY // step - 1).cast("long"))))
-    out = grid.join(counts, [*by, "p"], "left")
-    return out.select(*by, (F.col("p") * step).cast("int").alias("probe"), F.coalesce("c", F.lit(0)).alias("c"))
+    return today.unionAll(night).withColumn("a", F.ceil(F.col("a") / step)).withColumn("b", F.floor(F.least("b", F.lit(DAY - 1)) / step)).where("a <= b")
+
+
+def _changes(intervals: DataFrame, by: list[str]) -> DataFrame:
+    """(by, p, d): by how much the number under way changes at probe p, where it does."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("p"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("p"), F.lit(-1).alias("d")))).alias("x")
+    return intervals.select(*by, ends).groupBy(*by, F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d")).where("d != 0")
 
 
 def active_patterns(day: DataFrame, step_min: int = 5) -> DataFrame:
-    """(country, probe, active_routes): share of the stopping patterns of a country (two letters of the source) with a trip under way."""
-    probes = active_probes(day, ["source", "sane_route_id"], step_min)
-    return probes.groupBy(F.left("source", F.lit(2)).alias("country"), "probe").agg(F.avg((F.col("c") > 0).cast("double")).alias("active_routes"))
+    """(country, probe, active_routes): share of the stopping patterns of a country (two letters of the source) with a trip under way.
+
+    Only the probes at which a pattern begins or ends to be active go on from it.
+    """
+    by, country = ["source", "sane_route_id"], F.left("source", F.lit(2)).alias("country")
+    slots = DAY // (step_min * 60)
+    c = F.sum("d").over(W.partitionBy(*by).orderBy("p").rowsBetween(W.unboundedPreceding, W.currentRow))
+    now = _changes(_probed(day, by, step_min), by).withColumn("c", c)
+    was = F.coalesce(F.lag("c").over(W.partitionBy(*by).orderBy("p")), F.lit(0))
+    turns = now.select(country, "p", ((F.col("c") > 0).cast("int") - (was > 0).cast("int")).alias("d")).groupBy("country", "p").agg(F.sum("d").alias("d"))
+    patterns = day.select(*by).distinct().groupBy(country).agg(F.count(F.lit(1)).alias("n"))
+    grid = patterns.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).join(turns, ["country", "p"], "left")
+    active = F.sum(F.coalesce("d", F.lit(0))).over(W.partitionBy("country").orderBy("p").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return grid.select("country", (F.col("p") * step_min * 60).cast("int").alias("probe"), (active / F.col("n")).alias("active_routes"))
+
+
+def active_by_country(day: DataFrame, letters: int = 2, step_min: int = 5) -> DataFrame:
+    """(country, probe, c, share): trips under way by country (first letters of the source), and their share of the country's busiest probe."""
+    probes = active_probes(day, ["source"], step_min).groupBy(F.left("source", F.lit(letters)).alias("country"), "probe").agg(F.sum("c").alias("c"))
+    return aggs.normalised(probes, ["country"], "c")
 
 
 def headways(stop_times: DataFrame, keys: list[str], low: int = 1, high: int = 120) -> DataFrame:
@@ -162,6 +190,7 @@ def best_od(trips: DataFrame) -> DataFrame:
     best = trips.withColumn("speed", v).where("speed IS NOT NULL").groupBy("source", "start_stop", "end_stop").agg(
         F.max("speed").alias("speed"), F.median("total_dist").alias("total_dist"), F.min("total_t").alias("total_t")
     )
+    best = materialize(best, "best")
     best = aggs.rescaled_ecdf(best, ["source"], "speed", "speed_quantile")
     best = best.withColumn("__d", F.col("speed") * F.col("total_t"))
     return aggs.cumulative_share(best, ["source"], ["speed", "start_stop", "end_stop"], "__d", "dist_share").drop("__d")

@@ -186,7 +186,22 @@ def x09b(t):
     return routing.isochrone_walk(_hops_of(t), places, _first_stop(t), _T0, 120)
 
 
-@query("x10_isochrone")
+_X10 = {
+    "e": f"SELECT * FROM {cells('hops', 7)}",
+    "home": f"SELECT cell AS here FROM {cells('(SELECT * FROM stops WHERE source = ' + chr(39) + 'f0' + chr(39) + ' AND stop_id = 1)', 7)}",
+    "s0": "SELECT source, stop_id FROM (SELECT source, stop_id, count(*) AS n FROM e WHERE cell = (SELECT here FROM home) GROUP BY ALL) ORDER BY n DESC, source || ':' || stop_id LIMIT 1",
+    "r(source, stop, t)": "SELECT source, stop_id, 32400 FROM s0 UNION SELECT h.source, h.next_stop, h.next_arrival FROM r JOIN hops h ON r.source = h.source AND r.stop = h.stop_id WHERE h.departure_time >= r.t AND h.next_arrival <= 54000",
+    "a": "SELECT source, stop, min(t) AS t FROM r GROUP BY ALL",
+    "c": "SELECT source, stop_id AS stop, min(cell) AS cell FROM e GROUP BY ALL",
+    "b": "SELECT cell AS index, CAST(min(t) AS INTEGER) AS arrival_time FROM a JOIN c USING (source, stop) GROUP BY cell",
+    "v": "SELECT *, 1e0 - floor((arrival_time - 32400) / 60) / 360e0 AS actual_value FROM b",
+}
+
+
+@query(
+    "x10_isochrone",
+    view("hops", **_X10) + "SELECT index, arrival_time, round(actual_value, 6) AS actual_value, round(CASE WHEN count(*) OVER () = 1 THEN 1e0 ELSE percent_rank() OVER (ORDER BY actual_value) END, 6) AS value FROM v",
+)
 def x10(t):
     e = _hops_of(t).withColumn("cell", hex_cell(F.col("stop_lat"), F.col("stop_lon"), 7))
     here = t.stops().where("stop_id = 1").first()
@@ -221,12 +236,13 @@ def x11(t):
     view("hops", "people", **_POP60)
     + f""", pc AS (SELECT {_LON} AS lon, {_LAT} AS lat, pop_in_60 FROM pop60), up AS ("""
     + " UNION ALL ".join(f"SELECT lon, lat, pop_in_60, cell, {r} AS res FROM {cells('pc', r, '(lat + 3e-9)', '(lon + 1e-9)')}" for r in range(4, 10))
-    + """) SELECT cell, res, round(avg(lon), 4) AS lon, round(avg(lat), 4) AS lat, round(median(pop_in_60), 4) AS pop_in_60 FROM up GROUP BY cell, res""",
+    + """) SELECT cell, res, round(avg(lon), 4) AS lon, round(avg(lat), 4) AS lat, round(median(pop_in_60), 4) AS pop_in_60 FROM up GROUP BY cell, res
+  UNION ALL SELECT cell, 10, round(" + _LON + ", 4), round(" + _LAT + ", 4), round(pop_in_60, 4) FROM pop60""".replace('" + _LON + "', _LON).replace('" + _LAT + "', _LAT),
 )
 def x12(t):
     pop = _pop60(t)
     # four decimals: the order in which floats are added shows in the sixth
-    return access.bake(pop).where("res < 10").withColumns({c: F.round(c, 4) for c in ("lon", "lat", "pop_in_60")})
+    return access.bake(pop).withColumns({c: F.round(c, 4) for c in ("lon", "lat", "pop_in_60")})
 
 
 _T2T = {

@@ -58,7 +58,8 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     Cuts the lineage in a way that survives lost executors, and lets several consumers read one result.
     """
     path = f"{shared_dir(df.sparkSession)}/hopline/{tag}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._hopline_path = path
     return out

@@ -94,18 +94,25 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def swap_in(df: DataFrame, path: str) -> DataFrame:
-    """Replace a table while it may be read, also by ``df`` itself: write beside it, then rename."""
+    """Replace a table while it may be read, also by ``df`` itself: write beside it, then rename. If the second rename fails, the old table is put back."""
     spark, beside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(beside)
     fs, new = _fs(spark, beside)
     _, old = _fs(spark, path)
-    if fs.exists(old):
-        _, gone = _fs(spark, f"{beside}.old")
-        fs.rename(old, gone)
-        fs.rename(new, old)
+    _, gone = _fs(spark, f"{beside}.old")
+    had = fs.exists(old)
+    if had and not fs.rename(old, gone):
+        raise OSError(f"{path} could not be moved away")
+    try:
+        done = fs.rename(new, old)
+    except Exception:
+        done = False
+    if not done:
+        if had:
+            fs.rename(gone, old)
+        raise OSError(f"the new table could not be moved to {path}")
+    if had:
         fs.delete(gone, True)
-    else:
-        fs.rename(new, old)
     return spark.read.parquet(path)
 
 
@@ -114,6 +121,59 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """CSV files with a header, by a schema or with inferred types."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def write_text_table(df: DataFrame, path: str) -> None:
+    """A feed's table as one text file of this very name, as feeds are published. One task; a feed's stops and the like, not its stop times."""
+    spark, beside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    write_csv(df, beside, one_file=True)
+    fs, folder = _fs(spark, beside)
+    (part,) = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    fs.rename(part, _fs(spark, path)[1])
+    fs.delete(folder, True)
+
+
+def _ipc(table) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, table.schema) as writer:
+        writer.write(table)
+    return sink.getvalue().to_pybytes()
+
+
+def write_arrow(df: DataFrame, path: str) -> None:
+    """Arrow files, one for each Arrow batch of each task, in a Parquet table (n, file): Spark's own committed writer, nothing through the driver."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([_ipc(batch)], pa.binary())], ["n", "file"])
+
+    df.mapInArrow(run, "n long, file binary").write.parquet(path)
+
+
+def read_arrow(spark: SparkSession, path: str, schema: T.StructType, single: bool = False) -> DataFrame:
+    """Rows of the Arrow files that ``write_arrow`` wrote, or with ``single`` of whole Arrow files (``*.arrow``) in a folder."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("content").alias("file")) if single else spark.read.parquet(path).select("file")
+    names = schema.names
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("file"):
+                reader = pa.ipc.open_file(pa.BufferReader(content.as_py()))
+                for i in range(reader.num_record_batches):
+                    yield reader.get_batch(i).select(names)
+
+    return files.mapInArrow(run, schema)
+
+
 def write_map_layer(df: DataFrame, path: str, title: str, raw: bool = True, flip: bool = False, scale: str = "linear", **meta) -> None:
     """(index, value) as one CSV file for the map viewer, cells in hex, with a JSON file of how to show it."""
     write_csv(df.select(F.lower(F.hex("index")).alias("index"), "value").orderBy("index"), f"{path}/data", one_file=True)

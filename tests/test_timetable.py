@@ -2,12 +2,16 @@
 
 import datetime as dt
 import math
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from hopline.functions import aggs, geo, timefn
+from hopline.functions.geo import hex_cell
 from hopline.operators import clusters, edges, facts, race, routing, service, stats
 from hopline.operators.components import connected_components
 from hopline.sources import gtfs
@@ -256,9 +260,49 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.table("live")) == rows(batch)
 
 
-def test_entry_without_corpus_operators(spark):
-    """The guard is in the entry module alone."""
+def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("gone", ["hopline.llm", "corpus_pipeline", "public_tokenizers", "xxhash"])
+def test_entry_without_corpus_operators(gone):
+    """In a process of its own, in which a part cannot be imported, the timetable queries are still there."""
+    code = f"""
+import importlib.abc, sys
+class Hide(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name == {gone!r}:
+            raise ImportError(name)
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as entry
+names = set(entry.queries())
+assert "x07_edgelist" in names and "s18_arrow_and_back" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
+assert set(entry.oracle_sql()) <= names
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
+
+
+def test_finishes_that_are_hard_to_find(spark, monkeypatch):
+    """With one try each, draws that miss take one of the cells that are far enough away."""
+    lat = [48.0, 48.1, 48.2, 50.0]
+    hops = spark.createDataFrame([(a, 2.0, b, 2.0) for i, a in enumerate(lat) for b in lat if a != b], "stop_lat double, stop_lon double, next_lat double, next_lon double")
+    s = spark.createDataFrame([(x, 2.0, 5.0) for x in lat], "stop_lat double, stop_lon double, crow_km double")
+    people = spark.createDataFrame([(x, 2.0, 1000 if x < 50 else 1) for x in lat], "lat double, lon double, population long").select(hex_cell(F.col("lat"), F.col("lon"), 9).alias("cell"), "population")
+    out = race.race_pairs(hops, s, people, n=40, seed=3, attempts=1).collect()
+    assert len(out) == 40 and all({r["start_lat"], r["finish_lat"]} >= {50.0} or abs(r["start_lat"] - r["finish_lat"]) > 1 for r in out)
+
+
+def test_arrow_files(spark, tmp_path):
+    import pyarrow as pa
+
+    table = pa.table({"a": [1, 2, None], "b": ["x", None, "z"]})
+    (tmp_path / "f").mkdir()
+    with pa.ipc.new_file(str(tmp_path / "f" / "one.arrow"), table.schema) as w:
+        w.write_table(table)
+    got = gtfs.read_arrow(spark, str(tmp_path / "f"), spark.createDataFrame([], "b string, a long").schema, single=True)
+    assert sorted(map(tuple, got.collect()), key=str) == [("x", 1), ("z", None), (None, 2)]
+    gtfs.write_arrow(got.where("false"), str(tmp_path / "g"))
+    assert gtfs.read_arrow(spark, str(tmp_path / "g"), got.schema).count() == 0
