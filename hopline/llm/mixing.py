@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hopline.llm.common import with_row_key
-from hopline.session import materialize
+from hopline.session import discard, materialize
 
 #: Documents of a block that one task orders at a time, on average, and blocks of a source at least (fewer for a small corpus).
 ROWS_PER_BLOCK, LEAST_BLOCKS = 20_000, 64
@@ -38,12 +38,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     s = sizes.select("source", "source_size", weight.alias("weight"), (F.lit(float(max_repeats)) * F.col("source_size")).alias("cap"))
     by_ratio = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
+    from_last = W.orderBy((F.col("cap") / F.col("weight")).desc(), F.col("source").isNull().desc(), F.col("source").desc())
     everything = W.partitionBy()
     s = s.select(
         "*",
         (F.lit(float(share)) * F.sum("source_size").over(everything)).alias("budget"),
         F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("full"),
-        F.sum("weight").over(by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("rest"),
+        F.sum("weight").over(from_last.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("rest"),  # its own and those after it
     )
     level = (F.col("budget") - F.col("full")) / F.col("rest")
     # the level is right for the first source, in that order, that it does not fill
@@ -90,6 +91,7 @@ def queue(
         "__row", "doc_id", "size", *carried, "source_size", "target", "cum"
     )
     placed = materialize(placed, "placed")
+    discard(rows)
     copies = placed.where("size > 0").select(
         "__row", "doc_id", "size", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("copy"), "source_size", "target", "cum"
     )
