@@ -7,8 +7,8 @@ bits). What meets and differs by at most some bits more than expected is compare
 more are links.
 
 Of the pairs under one key a minimum spanning forest by bits and the nearest few of each text are compared first. Only classes count in the end, so of
-the pairs that were left out those still matter whose texts are in different classes then. They go into further rounds, each with 16 times as many of
-the nearest, until no pair between different classes is left out.
+the pairs that were left out those still matter whose texts are in different classes then. Of groups with such pairs, the sets of all texts outside the
+largest class are compared with those of the whole group, block by block.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +31,11 @@ LEAST, MEET = 0.8, 0.925
 #: Probability that a bit differs at similarity LEAST, and standard deviations above the mean up to which candidates may differ.
 DIFFERS, DEVIATIONS = math.acos(2 * LEAST / (1 + LEAST)) / math.pi, 2.6
 #: Nearest texts under a key that are compared besides the forest, in the first round; in groups up to this size that is all pairs.
-NEAREST = 64
+NEAREST = 8
 #: Rows of one key that are compared in one go, and pairs that are compared at a time.
 BLOCK, PAIRS = 2048, 1 << 20
+#: Rows outside the largest class of a group that a block is compared with at a time, and shingles of them.
+PART, COLUMNS = 1024, 2048
 #: Shingles hashed at a time.
 SHINGLES = 1 << 14
 #: Texts (keys) up to which the list of those to be verified (gone through again) is broadcast (16 bytes each); beyond, it is joined.
@@ -312,46 +313,69 @@ def _scanned(shape: Shape):
 
 
 def first_candidates(nodes: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """From ``nodes`` (s, f): pairs (a, b), a < b, and the rows (key, flip, f, s, block) of groups in which pairs were left out."""
+    """From ``nodes`` (s, f): pairs (a, b), a < b, and the rows (key, flip, f, s, block) of groups in which pairs were left out; both are written."""
     index = nodes.select("s", "f").mapInArrow(_indexed(shape), "key long, flip byte, f binary, s long")
     rows = index.repartition(F.col("key")).sortWithinPartitions("key", "flip")
     found = materialize(rows.mapInArrow(_scanned(shape), _MET), "met")
-    return found.where("kind = 0").select("a", "b").distinct(), found.where("kind = 1").select("key", "flip", "f", "s", "block")
-
-
-def _of_two(shape: Shape, most: int):
-    """A block of a group with some of the rows outside its largest class -> pairs, or a key (as a, with null b) of which some are left out."""
-
-    def run(table: pa.Table) -> pa.Table:
-        mine = Rows.read(table.filter(pc.equal(table.column("side"), 0)), shape.words)
-        others = Rows.read(table.filter(pc.equal(table.column("side"), 1)), shape.words)
-        first = np.arange(len(mine))
-        a, b, open_ = _chosen(list(_compare(mine, others, first, np.zeros(len(mine), np.int64), np.full(len(mine), len(others)), shape.bound)), most)
-        return pa.table({"a": pa.concat_arrays([pa.array(a), pa.array(open_)]), "b": pa.concat_arrays([pa.array(b), pa.nulls(len(open_), pa.int64())])})
-
-    return run
-
-
-def more_candidates(left: DataFrame, classes: DataFrame, shape: Shape, most: int) -> tuple[DataFrame, DataFrame]:
-    """From the rows ``left`` of groups not done and the classes (node, component) so far: pairs between classes, and the keys not done yet.
-
-    Of each group the largest class needs no comparing inside. All rows outside it are held against all of the group, a block with some 2,048 of them at a time.
+    pairs = materialize(found.where("kind = 0").select("a", "b").distinct(), "candidates")
+    left = materialize(found.where("kind = 1").select("key", "flip", "f", "s", "block"), "left")
+    discard(found)
+    return pairs, left
+
+
+def _alike(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Booleans (xs, ys): whether the sets (sorted, distinct) are LEAST or more alike. Intersections are products of 0/1 matrices, some columns at a time."""
+    flat, row = [np.concatenate(z) for z in (xs, ys)], [np.repeat(np.arange(len(z)), [len(x) for x in z]) for z in (xs, ys)]
+    common = np.intersect1d(*flat)
+    both = np.zeros((len(xs), len(ys)), np.float32)
+    if len(common):
+        at = [np.minimum(np.searchsorted(common, f), len(common) - 1) for f in flat]
+        held = [common[p] == f for p, f in zip(at, flat, strict=True)]
+        for low in range(0, len(common), COLUMNS):
+            sides = []
+            for z, p, ok, r in zip((xs, ys), at, held, row, strict=True):
+                here = ok & (p >= low) & (p < low + COLUMNS)
+                m = np.zeros((len(z), min(COLUMNS, len(common) - low)), np.float32)
+                m[r[here], p[here] - low] = 1
+                sides.append(m)
+            both += sides[0] @ sides[1].T
+    sizes = np.array([len(x) for x in xs])[:, None] + np.array([len(y) for y in ys])[None, :]
+    return both >= LEAST * (sizes - both)
+
+
+def _between_classes(table: pa.Table) -> pa.Table:
+    """A block of a group with some of the rows outside its largest class -> a forest of the links between classes, as pairs of classes."""
+    side, c = table.column("side").to_numpy(), table.column("c").to_numpy()
+    sets = [np.frombuffer(g.as_py(), "<u4") for g in table.column("grams")]
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not (len(one) and len(two)):
+        return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
+    i, j = np.nonzero(_alike([sets[k] for k in one], [sets[k] for k in two]) & (c[one][:, None] != c[two][None, :]))
+    src, dst = _forest(c[one][i], c[two][j])
+    return pa.table({"src": src, "dst": dst})
+
+
+def more_links(left: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """From the rows ``left`` (key, s, block) of groups not done and the classes (node, component) so far: links between classes (src, dst), written.
+
+    Of each group the largest class needs no comparing inside. All rows outside it are held against all of the group, a block with some PART of them at a
+    time, where their sets are compared at once: no pair is left out, and none but links between classes comes out.
     """
-    rows = left.join(classes, F.col("s") == F.col("node"), "left").select("key", "flip", "f", "s", "block", F.coalesce("component", "s").alias("c"))
+    rows = left.join(classes, F.col("s") == F.col("node"), "left").select("key", "s", "block", F.coalesce("component", "s").alias("c"))
     rows = materialize(rows, "classed")
     size = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("block"))
     group = size.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.max("block").alias("top"))
-    group = materialize(group.where("rest > 0").select("key", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("parts"), "top"), "groups")
+    group = materialize(group.where("rest > 0").select("key", "main", F.ceil(F.col("rest") / PART).cast("int").alias("parts"), "top"), "groups")
     hint = F.broadcast if group.count() <= BROADCAST_TEXTS else (lambda x: x)
-    dealt = rows.join(hint(group), "key")
+    dealt = rows.join(hint(group), "key").join(sets, "s")
     one = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(0))
     two = dealt.where("c != main").withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
     two = two.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("top")))).withColumn("side", F.lit(1))
-    cols = ["key", "block", "part", "flip", "f", "s", "c", "side"]
-    met = one.select(cols).unionByName(two.select(cols)).groupBy("key", "block", "part").applyInArrow(_of_two(shape, most), "a long, b long")
-    met = materialize(met, "met")
+    cols = ["key", "block", "part", "c", "side", "grams"]
+    out = materialize(one.select(cols).unionByName(two.select(cols)).groupBy("key", "block", "part").applyInArrow(_between_classes, "src long, dst long").distinct(), "links")
     discard(rows)
-    return met.where("b IS NOT NULL").distinct(), met.where("b IS NULL").select(F.col("a").alias("key")).distinct()
+    discard(group)
+    return out
 
 
 def _sets(words_per_shingle: int):
@@ -366,13 +390,15 @@ def _sets(words_per_shingle: int):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (src, dst, x, y) -> a forest of the pairs whose sets are alike."""
     for batch in batches:
         ok = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
             both = len(np.intersect1d(p, q, assume_unique=True))
             ok.append(both >= LEAST * (len(p) + len(q) - both))
-        yield batch.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+        alike = [batch.column(c).to_numpy(zero_copy_only=False)[np.array(ok, bool)] for c in ("src", "dst")]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(*alike)], ["src", "dst"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -383,25 +409,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(texts: DataFrame, nodes: DataFrame, shape: Shape, words_per_shingle: int = 5) -> DataFrame:
     """(node, component) of the ``nodes`` (s, k, f) that have a link; their texts stand under k in ``texts`` (k, text)."""
     pairs, left = first_candidates(nodes, shape)
-    pairs = materialize(pairs, "candidates")
-    # the forest of a group holds each text that has a pair, so these are the texts of all rounds
+    # the forest of a group holds each text that has a pair, so these are the texts of both rounds
     wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "s").join(nodes.select("s", "k"), "s"), "wanted")
     hint = F.broadcast if wanted.count() <= BROADCAST_TEXTS else (lambda x: x)
     sets = texts.join(hint(wanted), "k").select("s", "text").mapInArrow(_sets(words_per_shingle), "s long, grams binary")
     sets = materialize(sets.dropDuplicates(["s"]), "sets")
     links = _verified(pairs, sets)
-    discard(wanted)
-    most = NEAREST
-    while True:
-        out = connected_components(links)
-        if left.isEmpty():
-            break
-        most *= 16
-        pairs, keys = more_candidates(left, out, shape, most)
-        pairs = materialize(pairs, "candidates")
-        links = links.union(_verified(pairs, sets))
-        left = materialize(left.join(keys, "key", "left_semi"), "left")
-    discard(sets)
+    out = connected_components(links)
+    if not left.isEmpty():
+        more = more_links(left, out, sets)
+        out = connected_components(links.union(more))
+        discard(more)
+    for df in (sets, left, links, wanted, pairs):
+        discard(df)
     return out
 
 
@@ -422,6 +442,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = classes(texts, nodes, shape, words_per_shingle)
     rooted = prints.join(roots.withColumnRenamed("node", "s"), "s", "left").select("k", "id", F.coalesce("component", "s").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("m"))
-    keyed = docs.withColumn("__k", key)
-    kept = keyed.join(best.select(F.col("m.k").alias("__k")), "__k", "left_semi").dropDuplicates(["__k"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    best = materialize(best.select(F.col("m.k").alias("__k")), "best")
+    discard(prints)
+    discard(nodes)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns))).alias("__r"), key.alias("__k"))
+    kept = whole.join(best, "__k", "left_semi").dropDuplicates(["__k"])
+    return kept.select(*(F.col(f"__r.k{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -99,6 +99,10 @@ def true_classes(texts):
     return len(set(joined(range(len(texts)), links).values()))
 
 
+def true_classes_of(sets):
+    return joined(sets, [(a, b) for a in sets for b in sets if a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))])
+
+
 def classes_of_all_that_meet(index, sets, fps, shape):
     groups = {}
     for r in index.to_pylist():
@@ -109,7 +113,7 @@ def classes_of_all_that_meet(index, sets, fps, shape):
     return joined(sets, [p for p in met if bits(*p) <= shape.bound and alike(*p)])
 
 
-@pytest.mark.parametrize("block,nearest", [(2048, 64), (16, 64), (2048, 1), (16, 1), (3, 2)])
+@pytest.mark.parametrize("block,nearest", [(2048, 64), (16, 8), (2048, 1), (16, 1), (3, 2)])
 def test_dense_groups_are_whole(spark, monkeypatch, block, nearest):
     """Whatever is compared first, no link of a group is lost: the classes are those of all pairs that meet."""
     texts = dense_texts()
@@ -127,21 +131,18 @@ def test_dense_groups_are_whole(spark, monkeypatch, block, nearest):
         assert len(gone) == len(set(gone)) and {k for k, *_ in gone} >= {k for k, n in sizes.items() if n > block}
         assert all(n == sizes[k] for k, n in Counter(k for k, *_ in gone).items())
     pairs = pa.Table.from_batches(list(shingle_dedup._scanned(shape)(iter(index.to_batches()))))
-    # the whole rounds, with these bounds in the workers too
-    sets, links, most, left = dict(nodes), [], nearest, [r for r in pairs.to_pylist() if r["kind"] == 1]
-    found = [(r["a"], r["b"]) for r in pairs.to_pylist() if r["kind"] == 0]
-    while True:
-        links += [(a, b) for a, b in found if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
-        root = joined(sets, links)
-        if not left:
-            break
-        most *= 16
-        classes = spark.createDataFrame(list(root.items()), "node long, component long")
-        frame = spark.createDataFrame([tuple(r[c] for c in ("key", "flip", "f", "s", "block")) for r in left], "key long, flip byte, f binary, s long, block int")
-        more, keys = shingle_dedup.more_candidates(frame, classes, shape, most)
-        found, keys = [(r["a"], r["b"]) for r in more.collect()], {r["key"] for r in keys.collect()}
-        left = [r for r in left if r["key"] in keys]
-    assert root == classes_of_all_that_meet(index, sets, dict(zip(sets, fps)), shape)
+    # the second round, from what the first has left
+    sets, met = dict(nodes), pairs.to_pylist()
+    found = [(r["a"], r["b"]) for r in met if r["kind"] == 0]
+    first = joined(sets, [(a, b) for a, b in found if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))])
+    left = spark.createDataFrame([(r["key"], r["s"], r["block"]) for r in met if r["kind"] == 1], "key long, s long, block int")
+    grams = spark.createDataFrame([(s, bytearray(np.unique(h.astype("<u4")).tobytes())) for s, h in nodes], "s long, grams binary")
+    monkeypatch.setattr(shingle_dedup, "PART", 5)
+    more = shingle_dedup.more_links(left, spark.createDataFrame(list(first.items()), "node long, component long"), grams)
+    root = joined(sets, list(first.items()) + [(r["src"], r["dst"]) for r in more.collect()])
+    least, most = classes_of_all_that_meet(index, sets, dict(zip(sets, fps)), shape), true_classes_of(sets)
+    assert len({(root[s], least[s]) for s in sets}) == len(set(least.values()))  # each class of pairs that meet is in one
+    assert len({(root[s], most[s]) for s in sets}) == len(set(root.values()))  # and each of these in a true one
 
 
 def test_rounds_through_spark(spark):
@@ -151,5 +152,5 @@ def test_rounds_through_spark(spark):
     least = true_classes(sorted(set(texts)))
     assert least <= kept.count() <= least + 3
     assert shingle_dedup.keep_one_of_each(documents(spark, [])).count() == 0
-    clash = documents(spark, [(1, "a b c d e f", "en", "a"), (2, "A b c d e f", "en", "a")]).selectExpr("*", "1 AS k", "2 AS s", "3 AS f", "4 AS root")
+    clash = documents(spark, [(1, "a b c d e f", "en", "a"), (2, "A b c d e f", "en", "a")]).selectExpr("*", "1 AS k", "2 AS s", "3 AS f", "4 AS root", "5 AS __k")
     assert [(r["doc_id"], r["k"], r["root"]) for r in shingle_dedup.keep_one_of_each(clash).collect()] == [(1, 1, 4)]
