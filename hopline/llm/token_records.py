@@ -41,8 +41,8 @@ BATCH_BYTES = 8 << 20
 CACHE = 1 << 17
 #: Rows that a worker encodes at a time.
 SLICE = 2_000
-#: Bytes of text in a file: as many as FILE_BYTES where the corpus is large, and down to LEAST_BYTES where that gives all cores some.
-FILE_BYTES, LEAST_BYTES = 64 << 20, 8 << 20
+#: Bytes of text in a file, which also bound the memory of the task that writes it: the least, and, once there would be more than FILES files, up to the most.
+LEAST_BYTES, MOST_BYTES, FILES = 12 << 20, 128 << 20, 4096
 
 _workers: dict[tuple[str, str], "Encoder"] = {}
 
@@ -142,10 +142,9 @@ def write_records(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
     place in the scan, so that copies do not pile up in one task); each task encodes what it has and appends to its file, whose name orders it among the
     others. The number of files follows from the bytes of all texts. Bytes go through Spark's text writer as a string column that is never decoded.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
-    files = max(1, -(-total // FILE_BYTES), min(4 * spark.sparkContext.defaultParallelism, -(-total // LEAST_BYTES)))
+    files = max(1, -(-total // min(MOST_BYTES, max(LEAST_BYTES, total // FILES))))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order or ())))
     by = [f"__o{i}" for i in range(len(order))] if order else ["doc_id", "tie", "place"]
     ranged = slim.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(files, *by).sortWithinPartitions(*by).select("doc_id", "text")
