@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopline.llm.common import give_back
 from hopline.session import discard, materialize
 
 #: The models are fitted on at most so many labelled documents, those least by a hash of their id.
@@ -63,6 +64,12 @@ class _Buckets(dict):
 
 _buckets = _Buckets()
 
+
+def forget() -> None:
+    """Between batches: workers live on, and other stages need their memory."""
+    _buckets.clear()
+    give_back()
+
 Features = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -155,6 +162,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [features(t.as_py()) for t in part.column("text")]
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())))]
             yield pa.RecordBatch.from_arrays([part.column("low"), part.column("toxic"), part.column("fold"), *cols], ["low", "toxic", "fold", "buckets", "often", "shape"])
+        forget()
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -239,6 +247,7 @@ def evidence(docs: DataFrame, models: dict[str, Model], text_col: str = "text")
         import pandas as pd
 
         out = np.array([[table.value[n].evidence(f) for n in names] for f in map(features, texts)]).reshape(-1, len(names))
+        forget()
         return pd.DataFrame(out, columns=names)
 
     return docs.withColumn("__e", score(F.col(text_col)))

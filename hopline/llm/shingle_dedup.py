@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopline.llm.common import give_back
 from hopline.llm.simhash import _forest
 from hopline.operators.components import connected_components
 from hopline.session import discard, materialize
@@ -120,6 +121,7 @@ def _prints(words_per_shingle: int, shape: Shape):
                 same[i], found = grams(text.as_py(), words_per_shingle)
                 fps[i] = fingerprint(found, shape)
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), pa.array(same.view(np.int64)), _binary(fps)], ["k", "id", "s", "f"])
+        give_back()
 
     return run
 
@@ -308,6 +310,7 @@ def _scanned(shape: Shape):
                 held = held.at(slice(full, None))
         if len(held):
             yield from out(held)
+        give_back()
 
     return run
 
@@ -385,6 +388,7 @@ def _sets(words_per_shingle: int):
         for batch in batches:
             sets = [np.unique(grams(t.as_py(), words_per_shingle)[1].astype("<u4")).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(sets, pa.binary())], ["s", "grams"])
+        give_back()
 
     return run
 

@@ -6,7 +6,6 @@ filled by the tokenizer itself. No pre-token is ever shuffled: to find the frequ
 
 from __future__ import annotations
 
-import ctypes
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,15 +58,6 @@ class Memo(dict):
             self.offers, self.seen = 0, bytearray(SEEN)
 
 
-def give_back() -> None:
-    """Return freed memory to the system at the end of a task, as workers live on."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 class PreTokens:
     """A tokenizer file in a worker, with what has been learnt about its pre-tokens."""
 
