@@ -34,7 +34,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Record files in the shared folder, in the order of the files of ``docs``, which is the mixing order; the rows are their offset index."""
-    index, _ = token_records.export_tokens(docs, public_tokenizers.path(TOKENIZER), order=("_metadata.file_path", "_metadata.row_index"))
+    index, _ = token_records.export_tokens(docs, public_tokenizers.path(TOKENIZER), order=("_metadata.file_path", "_metadata.row_index"), slice_rows=500)
     return index
 
 
