@@ -219,8 +219,21 @@ def _chosen(found: list[tuple], most: int) -> tuple[np.ndarray, np.ndarray, np.n
     return pairs[:, 0], pairs[:, 1], np.unique(key[~keep])
 
 
-def _compare(one: Rows, two: Rows, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: int) -> Iterator[tuple]:
-    """(key, a, b, bits) of the pairs within the bound of each row ``first`` of ``one`` with rows lo to hi (exclusive) of ``two``; rows of one class, and two flipped ones, are no pair."""
+def _first_segment(x: np.ndarray, shape: Shape) -> np.ndarray:
+    """The first segment in which pairs differ by one bit at most, from the bits in which they differ (rows of u64)."""
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 1 << 14):
+        part = np.ascontiguousarray(x[at : at + (1 << 14)])
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8 * shape.words), axis=1, count=shape.bits, bitorder="little")
+        out[at : at + len(part)] = (bits.reshape(-1, shape.segments, shape.width).sum(axis=2) <= 1).argmax(axis=1)
+    return out
+
+
+def _compare(one: Rows, two: Rows, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape: Shape) -> Iterator[tuple]:
+    """(key, a, b, bits) of the pairs within the bound of each row ``first`` of ``one`` with rows lo to hi (exclusive) of ``two``; rows of one class, and two flipped ones, are no pair.
+
+    Texts that meet in several segments are a pair in the first of them only, so each pair is seen under one key.
+    """
     many = np.maximum(hi - lo, 0)
     ends = np.cumsum(many)
     at = 0
@@ -234,7 +247,8 @@ def _compare(one: Rows, two: Rows, first: np.ndarray, lo: np.ndarray, hi: np.nda
         bits = np.bitwise_count(one.f[i, 0] ^ two.f[j, 0]).astype(np.int64)
         for w in range(1, one.f.shape[1]):
             bits += np.bitwise_count(one.f[i, w] ^ two.f[j, w])
-        near = np.flatnonzero(bits <= bound)
+        near = np.flatnonzero(bits <= shape.bound)
+        near = near[_first_segment(one.f[i[near]] ^ two.f[j[near]], shape) == one.key[i[near]] >> shape.width]
         i, j = i[near], j[near]
         yield one.key[i], one.s[i], two.s[j], bits[near]
         at = to
@@ -243,7 +257,7 @@ def _compare(one: Rows, two: Rows, first: np.ndarray, lo: np.ndarray, hi: np.nda
 def _within(rows: Rows, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates in whole groups of equal keys; rows are sorted by (key, flip)."""
     first = np.flatnonzero(rows.flip == 0)
-    return _chosen(list(_compare(rows, rows, first, first + 1, np.searchsorted(rows.key, rows.key[first], "right"), shape.bound)), NEAREST)
+    return _chosen(list(_compare(rows, rows, first, first + 1, np.searchsorted(rows.key, rows.key[first], "right"), shape)), NEAREST)
 
 
 _MET = "kind byte, a long, b long, key long, flip byte, f binary, s long, block int"
