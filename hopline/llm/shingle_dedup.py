@@ -32,7 +32,7 @@ LEAST, MEET = 0.8, 0.925
 #: Probability that a bit differs at similarity LEAST, and standard deviations above the mean up to which candidates may differ.
 DIFFERS, DEVIATIONS = math.acos(2 * LEAST / (1 + LEAST)) / math.pi, 2.6
 #: Nearest texts under a key that are compared besides the forest, in the first round; in groups up to this size that is all pairs.
-NEAREST = 8
+NEAREST = 2
 #: Rows of one key that are compared in one go, and pairs that are compared at a time.
 BLOCK, PAIRS = 2048, 1 << 20
 #: Rows outside the largest class of a group that a block is compared with at a time, and shingles of them.
