@@ -6,9 +6,10 @@ some 200 chance rows at most, and as many as it takes for pairs of similarity 0.
 bits). What meets and differs by at most some bits more than expected is compared on the shingle sets themselves, and only pairs of similarity LEAST or
 more are links.
 
-Of the pairs under one key a minimum spanning forest by bits and the nearest few of each text are compared first. Only classes count in the end, so of
-the pairs that were left out those still matter whose texts are in different classes then. Of groups with such pairs, the sets of all texts outside the
-largest class are compared with those of the whole group, block by block.
+Only classes count in the end, so a pair within a class needs no comparing. What has a segment in common is looked at first (one key a segment), which
+joins much of a dense group: a minimum spanning forest by bits of the pairs under one key and the nearest few of each text are compared. Then everything
+is indexed under the variants too, and only pairs between the classes so far are looked at. Where each text has but a few of them, they are compared one
+by one; of all other groups, the sets of all texts outside the largest class are compared with those of the whole group, block by block.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from hopline.session import discard, materialize
 LEAST, MEET = 0.8, 0.925
 #: Probability that a bit differs at similarity LEAST, and standard deviations above the mean up to which candidates may differ.
 DIFFERS, DEVIATIONS = math.acos(2 * LEAST / (1 + LEAST)) / math.pi, 2.6
-#: Nearest texts under a key that are compared besides the forest, in the first round; in groups up to this size that is all pairs.
+#: Nearest texts under a key that are compared besides the forest; in groups up to this size that is all pairs.
 NEAREST = 2
 #: Rows of one key that are compared in one go, and pairs that are compared at a time.
 BLOCK, PAIRS = 2048, 1 << 20
+#: Rows of a large group that wait for a second class to turn up; a group without one needs no comparing.
+WAITING = 1 << 18
 #: Rows outside the largest class of a group that a block is compared with at a time, and shingles of them.
 PART, COLUMNS = 1024, 2048
 #: Shingles hashed at a time.
@@ -152,9 +155,9 @@ class Rows:
         return Rows(*(np.concatenate([getattr(r, x.name) for r in (self, other)]) for x in fields(self)))
 
 
-def _indexed(shape: Shape):
-    """Rows (s, f) -> (key, flip, f, s): each under its segments and, with flip 1, under those with one zero bit set."""
-    weights, flips = 1 << np.arange(shape.width), np.array([0, *(1 << b for b in range(shape.width))])
+def _indexed(shape: Shape, variants: bool = True):
+    """Rows (s, f), with c if known -> (key, flip, f, s, c): each under its segments and, with ``variants`` and flip 1, under those with one zero bit set."""
+    weights, flips = 1 << np.arange(shape.width), np.array([0, *(1 << b for b in range(shape.width) if variants)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +171,9 @@ def _indexed(shape: Shape):
                 take[:, :, 0] = True
                 row, segment, flip = np.nonzero(take)
                 key = (segment << shape.width) + keys[row, segment, flip]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((flip > 0).astype(np.int8)), _binary(f[row]), pa.array(s[row])], ["key", "flip", "f", "s"])
+                c = part.column("c").to_numpy(zero_copy_only=False) if "c" in part.schema.names else s
+                cols = [pa.array(key), pa.array((flip > 0).astype(np.int8)), _binary(f[row]), pa.array(s[row]), pa.array(c[row])]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "flip", "f", "s", "c"])
 
     return run
 
@@ -205,31 +210,47 @@ def _nearest(key: np.ndarray, a: np.ndarray, bits: np.ndarray, most: int) -> np.
     return out
 
 
-def _chosen(found: list[tuple], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (a, b) to verify, a < b, from the pairs (key, a, b, bits) within the bound, and the keys of which some are left out."""
+def _joined(found: list[tuple]) -> tuple[np.ndarray, ...]:
     found = [x for x in found if len(x[0])]
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    key, a, b, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-    keep = _nearest(key, a, bits, most) & _nearest(key, b, bits, most)
-    if not keep.all():
-        keep |= _nearest(key, a, bits, most) | _nearest(key, b, bits, most) | _spanning(a, b, bits)
-    pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], np.unique(key[~keep])
-
-
-def _first_segment(x: np.ndarray, shape: Shape) -> np.ndarray:
-    """The first segment in which pairs differ by one bit at most, from the bits in which they differ (rows of u64)."""
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _chosen(found: list[tuple], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b), a < b, to begin with, from the pairs (key, a, b, bits) within the bound: a forest and the nearest of each text."""
+    key, a, b, bits = _joined(found)
+    if not len(key):
+        return a, b
+    keep = _nearest(key, a, bits, most) | _nearest(key, b, bits, most) | _spanning(a, b, bits)
+    return _distinct(a[keep], b[keep])
+
+
+def _split(found: list[tuple], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From the pairs (key, a, b, bits) within the bound: those of keys under which each text has ``most`` at most (a, b), the other keys, and the texts of their pairs."""
+    key, a, b, bits = _joined(found)
+    if not len(key):
+        return a, b, key, a
+    few = _nearest(key, a, bits, most) & _nearest(key, b, bits, most)
+    dense = np.unique(key[~few])
+    there = np.isin(key, dense)
+    return *_distinct(a[~there], b[~there]), dense, np.unique(np.concatenate([a[there], b[there]]))
+
+
+def _first_segment(x: np.ndarray, shape: Shape, most: int) -> np.ndarray:
+    """The first segment in which pairs differ by ``most`` bits at most, from the bits in which they differ (rows of u64)."""
     out = np.zeros(len(x), np.int64)
     for at in range(0, len(x), 1 << 14):
         part = np.ascontiguousarray(x[at : at + (1 << 14)])
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8 * shape.words), axis=1, count=shape.bits, bitorder="little")
-        out[at : at + len(part)] = (bits.reshape(-1, shape.segments, shape.width).sum(axis=2) <= 1).argmax(axis=1)
+        out[at : at + len(part)] = (bits.reshape(-1, shape.segments, shape.width).sum(axis=2) <= most).argmax(axis=1)
     return out
 
 
-def _compare(one: Rows, two: Rows, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape: Shape) -> Iterator[tuple]:
+def _compare(one: Rows, two: Rows, first: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape: Shape, variants: bool) -> Iterator[tuple]:
     """(key, a, b, bits) of the pairs within the bound of each row ``first`` of ``one`` with rows lo to hi (exclusive) of ``two``; rows of one class, and two flipped ones, are no pair.
 
     Texts that meet in several segments are a pair in the first of them only, so each pair is seen under one key.
@@ -248,57 +269,73 @@ def _compare(one: Rows, two: Rows, first: np.ndarray, lo: np.ndarray, hi: np.nda
         for w in range(1, one.f.shape[1]):
             bits += np.bitwise_count(one.f[i, w] ^ two.f[j, w])
         near = np.flatnonzero(bits <= shape.bound)
-        near = near[_first_segment(one.f[i[near]] ^ two.f[j[near]], shape) == one.key[i[near]] >> shape.width]
+        near = near[_first_segment(one.f[i[near]] ^ two.f[j[near]], shape, int(variants)) == one.key[i[near]] >> shape.width]
         i, j = i[near], j[near]
         yield one.key[i], one.s[i], two.s[j], bits[near]
         at = to
 
 
-def _within(rows: Rows, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates in whole groups of equal keys; rows are sorted by (key, flip)."""
-    first = np.flatnonzero(rows.flip == 0)
-    return _chosen(list(_compare(rows, rows, first, first + 1, np.searchsorted(rows.key, rows.key[first], "right"), shape)), NEAREST)
+def _within(rows: Rows, shape: Shape, variants: bool) -> list[tuple]:
+    """Pairs within whole groups of equal keys; rows are sorted by (key, flip)."""
+    first = np.flatnonzero(rows.flip == 0) if (rows.c != rows.c[0]).any() else np.zeros(0, np.int64)
+    return list(_compare(rows, rows, first, first + 1, np.searchsorted(rows.key, rows.key[first], "right"), shape, variants))
+
 
+_MET = "kind byte, a long, b long, key long, flip byte, s long, block int, met boolean"
 
-_MET = "kind byte, a long, b long, key long, flip byte, f binary, s long, block int"
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs to verify, as kind 0."""
+    n = len(a)
+    cols = [pa.array(np.zeros(n, np.int8)), pa.array(a), pa.array(b), *(pa.nulls(n, x) for x in (pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.bool_()))]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "key", "flip", "s", "block", "met"])
 
-def _met(kind: int, a: np.ndarray, b: np.ndarray, rows: Rows, block: int = 0) -> pa.RecordBatch:
-    """Kind 0: pairs to verify; kind 1: rows of a group that is not done."""
-    n = max(len(a), len(rows))
-    fill = lambda x, t: pa.array(x) if len(x) == n else pa.nulls(n, t)
-    cols = [pa.array(np.full(n, kind, np.int8)), fill(a, pa.int64()), fill(b, pa.int64()), fill(rows.key, pa.int64()), fill(rows.flip, pa.int8())]
-    cols += [_binary(rows.f) if len(rows) == n else pa.nulls(n, pa.binary()), fill(rows.s, pa.int64()), pa.array(np.full(n, block, np.int32))]
-    return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "key", "flip", "f", "s", "block"])
 
+def _rest(rows: Rows, block: int, met: np.ndarray) -> pa.RecordBatch:
+    """Rows of a group that is not done, as kind 1, and whether they may have a pair there."""
+    n = len(rows)
+    cols = [pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rows.key), pa.array(rows.flip), pa.array(rows.s)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(np.full(n, block, np.int32)), pa.array(met)], ["kind", "a", "b", "key", "flip", "s", "block", "met"])
 
-def _scanned(shape: Shape):
-    """Rows sorted by (key, flip) -> the pairs within groups, or within blocks of a larger one, and the rows of groups that are not done by that, by block."""
+
+def _scanned(shape: Shape, variants: bool = True):
+    """Rows sorted by (key, flip) -> pairs, and all rows of the groups that pairs do not settle, by block.
+
+    Without ``variants`` another scan follows: then only pairs come out, of larger groups those within blocks.
+    """
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = Rows(none, none.astype(np.int8), np.zeros((0, shape.words), np.uint64), none, none)
         held, big, block = empty, None, 0  # the key whose group has gone out in blocks so far
+        alone, waiting = None, []  # the only class of that group so far, and its rows, which no one needs if it stays so
 
         def small(rows: Rows) -> Iterator[pa.RecordBatch]:
-            a, b, open_ = _within(rows, shape)
+            found = _within(rows, shape, variants)
+            if not variants:
+                yield _pairs(*_chosen(found, NEAREST))
+                return
+            a, b, dense, texts = _split(found, NEAREST)
             if len(a):
-                yield _met(0, a, b, empty)
-            left = rows.at(np.isin(rows.key, open_))
+                yield _pairs(a, b)
+            left = rows.at(np.isin(rows.key, dense))
             if len(left):
-                yield _met(1, none, none, left)
+                yield _rest(left, 0, np.isin(left.s, texts))
 
         def large(rows: Rows) -> Iterator[pa.RecordBatch]:
-            nonlocal big, block
+            nonlocal big, block, alone, waiting
             if rows.key[0] != big:
-                big, block = int(rows.key[0]), 0
+                big, block, alone, waiting = int(rows.key[0]), 0, int(rows.c[0]), []
             for at in range(0, len(rows), BLOCK):
                 part = rows.at(slice(at, at + BLOCK))
-                a, b, _ = _within(part, shape)
-                if len(a):
-                    yield _met(0, a, b, empty)
-                yield _met(1, none, none, part, block)
+                if not variants:
+                    yield _pairs(*_chosen(_within(part, shape, variants), NEAREST))
+                    continue
+                waiting.append(_rest(part, block, np.ones(len(part), bool)))
                 block += 1
+                if alone is None or (part.c != alone).any() or len(waiting) * BLOCK > WAITING:
+                    yield from waiting
+                    alone, waiting = None, []
 
         def out(rows: Rows) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], rows.key[1:] != rows.key[:-1]]))
@@ -329,13 +366,13 @@ def _scanned(shape: Shape):
     return run
 
 
-def first_candidates(nodes: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """From ``nodes`` (s, f): pairs (a, b), a < b, and the rows (key, flip, f, s, block) of groups in which pairs were left out; both are written."""
-    index = nodes.select("s", "f").mapInArrow(_indexed(shape), "key long, flip byte, f binary, s long")
+def candidates(nodes: DataFrame, shape: Shape, variants: bool) -> tuple[DataFrame, DataFrame]:
+    """From ``nodes`` (s, f, c): pairs (a, b) between classes c, a < b, and the rows (key, s, block, met) of groups that these do not settle; both are written."""
+    index = nodes.select("s", "f", "c").mapInArrow(_indexed(shape, variants), "key long, flip byte, f binary, s long, c long")
     rows = index.repartition(F.col("key")).sortWithinPartitions("key", "flip")
-    found = materialize(rows.mapInArrow(_scanned(shape), _MET), "met")
+    found = materialize(rows.mapInArrow(_scanned(shape, variants), _MET), "met")
     pairs = materialize(found.where("kind = 0").select("a", "b").distinct(), "candidates")
-    left = materialize(found.where("kind = 1").select("key", "flip", "f", "s", "block"), "left")
+    left = materialize(found.where("kind = 1").select("key", "s", "block", "met"), "left")
     discard(found)
     return pairs, left
 
@@ -424,21 +461,41 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "x", "y").mapInArrow(_verify, "src long, dst long"), "links")
 
 
-def classes(texts: DataFrame, nodes: DataFrame, shape: Shape, words_per_shingle: int = 5) -> DataFrame:
-    """(node, component) of the ``nodes`` (s, k, f) that have a link; their texts stand under k in ``texts`` (k, text)."""
-    pairs, left = first_candidates(nodes, shape)
-    # the forest of a group holds each text that has a pair, so these are the texts of both rounds
-    wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "s").join(nodes.select("s", "k"), "s"), "wanted")
+def _sets_of(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(s, grams) of the nodes ``wanted`` (s), written."""
+    wanted = materialize(wanted.distinct().join(nodes.select("s", "k"), "s"), "wanted")
     hint = F.broadcast if wanted.count() <= BROADCAST_TEXTS else (lambda x: x)
     sets = texts.join(hint(wanted), "k").select("s", "text").mapInArrow(_sets(words_per_shingle), "s long, grams binary")
     sets = materialize(sets.dropDuplicates(["s"]), "sets")
+    discard(wanted)
+    return sets
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s")))
+
+
+def _classed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "f", F.coalesce("component", "s").alias("c"))
+
+
+def classes(texts: DataFrame, nodes: DataFrame, shape: Shape, words_per_shingle: int = 5) -> DataFrame:
+    """(node, component) of the ``nodes`` (s, k, f) that have a link; their texts stand under k in ``texts`` (k, text)."""
+    pairs, rest = candidates(nodes.withColumn("c", F.col("s")), shape, variants=False)
+    sets = _sets_of(_ends(pairs), texts, nodes, words_per_shingle)
     links = _verified(pairs, sets)
     out = connected_components(links)
+
+    more_pairs, left = candidates(_classed(nodes, out), shape, variants=True)
+    more_sets = _sets_of(_ends(more_pairs).union(left.where("met").select("s")).join(sets, "s", "left_anti"), texts, nodes, words_per_shingle)
+    both = sets.union(more_sets)
+    new_links = _verified(more_pairs, both)
+    out = connected_components(links.union(new_links))
     if not left.isEmpty():
-        more = more_links(left, out, sets)
-        out = connected_components(links.union(more))
-        discard(more)
-    for df in (sets, left, links, wanted, pairs):
+        last = more_links(left, out, both)
+        out = connected_components(links.union(new_links).union(last))
+        discard(last)
+    for df in (pairs, rest, sets, links, more_pairs, left, more_sets, new_links):
         discard(df)
     return out
 
