@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hopline.llm import decontaminate, mixing, quality, simhash, token_records
 from hopline.llm.common import read_table
-from hopline.session import materialize
+from hopline.session import materialize, tidy_driver
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -38,13 +41,16 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return index
 
 
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("simhash_near_dedup", simhash_near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("source_mixing", source_mixing),
-    ("token_output", token_output),
-]
+def _tidied(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy_driver(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _tidied(f)) for f in (quality_classifier, simhash_near_dedup, benchmark_decontamination, source_mixing, token_output)]
 
 #: SQL has neither the classifier nor the hashes of the fingerprints.
 ORACLE_SQL = None

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from hopline.llm.common import give_back
 from hopline.llm.simhash import _forest
 from hopline.operators.components import connected_components
-from hopline.session import discard, materialize
+from hopline.session import discard, materialize, tidy_driver
 
 LEAST, MEET = 0.8, 0.925
 #: Probability that a bit differs at similarity LEAST, and standard deviations above the mean up to which candidates may differ.
@@ -372,7 +372,8 @@ def candidates(nodes: DataFrame, shape: Shape, variants: bool) -> tuple[DataFram
     rows = index.repartition(F.col("key")).sortWithinPartitions("key", "flip")
     found = materialize(rows.mapInArrow(_scanned(shape, variants), _MET), "met")
     pairs = materialize(found.where("kind = 0").select("a", "b").distinct(), "candidates")
-    left = materialize(found.where("kind = 1").select("key", "s", "block", "met"), "left")
+    left = found.where("kind = 1").select("key", "s", "block", "met")
+    left = materialize(left, "left") if variants else left.limit(0)  # without variants all is settled
     discard(found)
     return pairs, left
 
@@ -479,23 +480,42 @@ def _classed(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "f", F.coalesce("component", "s").alias("c"))
 
 
+def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes ``found`` (node, component), joined by further ``links`` (src, dst), written: only the classes that have a new link go through rounds again."""
+    a, b = (found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_class")) for x in ("src", "dst"))
+    between = links.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_class", "src").alias("src"), F.coalesce("dst_class", "dst").alias("dst"))
+    joined = materialize(connected_components(between), "joined")
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = found.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = materialize(old.union(joined.join(found, "node", "left_anti").select("node", "component")), "classes")
+    discard(joined)
+    return out
+
+
 def classes(texts: DataFrame, nodes: DataFrame, shape: Shape, words_per_shingle: int = 5) -> DataFrame:
     """(node, component) of the ``nodes`` (s, k, f) that have a link; their texts stand under k in ``texts`` (k, text)."""
-    pairs, rest = candidates(nodes.withColumn("c", F.col("s")), shape, variants=False)
+    spark = nodes.sparkSession
+    pairs, _ = candidates(nodes.withColumn("c", F.col("s")), shape, variants=False)
     sets = _sets_of(_ends(pairs), texts, nodes, words_per_shingle)
     links = _verified(pairs, sets)
-    out = connected_components(links)
+    tidy_driver(spark)
+    first = connected_components(links)
+    tidy_driver(spark)
 
-    more_pairs, left = candidates(_classed(nodes, out), shape, variants=True)
+    more_pairs, left = candidates(_classed(nodes, first), shape, variants=True)
     more_sets = _sets_of(_ends(more_pairs).union(left.where("met").select("s")).join(sets, "s", "left_anti"), texts, nodes, words_per_shingle)
     both = sets.union(more_sets)
     new_links = _verified(more_pairs, both)
-    out = connected_components(links.union(new_links))
+    tidy_driver(spark)
+    out = _grown(first, new_links)
     if not left.isEmpty():
+        tidy_driver(spark)
         last = more_links(left, out, both)
-        out = connected_components(links.union(new_links).union(last))
+        tidy_driver(spark)
+        before, out = out, _grown(out, last)
+        discard(before)
         discard(last)
-    for df in (pairs, rest, sets, links, more_pairs, left, more_sets, new_links):
+    for df in (pairs, sets, links, more_pairs, left, more_sets, new_links):
         discard(df)
     return out
 

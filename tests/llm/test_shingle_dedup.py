@@ -154,3 +154,31 @@ def test_rounds_through_spark(spark):
     assert shingle_dedup.keep_one_of_each(documents(spark, [])).count() == 0
     clash = documents(spark, [(1, "a b c d e f", "en", "a"), (2, "A b c d e f", "en", "a")]).selectExpr("*", "1 AS k", "2 AS s", "3 AS f", "4 AS root", "5 AS __k")
     assert [(r["doc_id"], r["k"], r["root"]) for r in shingle_dedup.keep_one_of_each(clash).collect()] == [(1, 1, 4)]
+
+
+def test_classes_grow_by_further_links_only(spark, monkeypatch):
+    """Further links join the classes so far as a search over all links does, but go through it as links between classes."""
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(-400, 400), rnd.randrange(-400, 400)) for _ in range(500)]
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    rows = lambda df: {(r["node"], r["component"]) for r in df.collect()}
+    whole = rows(shingle_dedup.connected_components(frame(edges)))
+    first = shingle_dedup.connected_components(frame(edges[:300]))
+    classes, seen, search = dict(rows(first)), [], shingle_dedup.connected_components
+    monkeypatch.setattr(shingle_dedup, "connected_components", lambda links: search((seen.append(links), links)[1]))
+    out = shingle_dedup._grown(shingle_dedup._grown(first, frame(edges[300:400])), frame(edges[400:]))
+    assert rows(out) == whole and out.count() == len(whole)
+    assert {n for r in seen[0].collect() for n in r} <= set(classes.values()) | {n for e in edges[300:400] for n in e if n not in classes}
+    assert rows(shingle_dedup._grown(first, frame([]))) == rows(first)
+
+
+def test_driver_returns_memory(spark):
+    from hopline.session import tidy_driver
+
+    runtime, system = spark._jvm.java.lang.Runtime.getRuntime(), spark._jvm.java.lang.System
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    for _ in range(20):
+        system.getProperty("hopline.none", "x" * (1 << 20))  # leaves garbage behind
+    before = used()
+    tidy_driver(spark)
+    assert used() < before - (20 << 20)
